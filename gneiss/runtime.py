@@ -74,3 +74,20 @@ def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str =
 def hash128(*cols: Column) -> Column:
     """128-bit fingerprint of the columns as a struct of two independent 64-bit hashes."""
     return F.struct(F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit("gneiss"), *cols).alias("b"))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors of a cluster (once an application)."""
+    import shutil
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gneiss-ship-')}/gneiss", "zip", root.parent, root.name)
+    sc.addPyFile(made)
+    _shipped.add(sc.applicationId)
