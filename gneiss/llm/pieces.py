@@ -22,8 +22,8 @@ LIMIT, OVERLAP = 2400, 240
 _WINDOW, _MASK_BITS = 48, 9
 _LEVELS = ("paragraph", "sentence", "word")
 _ENDS = {
-    "paragraph": re.compile(r"\n[^\S\n\f]*\n\s*|\s*\f\s*"),
-    "sentence": re.compile(r"\n[^\S\n\f]*\n\s*|\s*\f\s*|(?<=[.!?])\s+"),
+    "paragraph": re.compile(r"\n[^\S\n\f]*\n\s*|(?<![^\S\f])[^\S\f]*+\f\s*"),
+    "sentence": re.compile(r"\n[^\S\n\f]*\n\s*|(?<![^\S\f])[^\S\f]*+\f\s*|(?<=[.!?])\s+"),
     "word": re.compile(r"\s+"),
 }
 
