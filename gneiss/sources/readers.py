@@ -10,12 +10,11 @@ from pyspark.sql import types as T
 def pdf_files(spark: SparkSession, path: str, max_mb: float = 50) -> DataFrame:
     """``(path, length, modified, error)`` of every file under ``path``; ``error`` tells why a
     file is not a readable PDF (name, size, magic number, trailer, encryption). Only the head and
-    tail of a file leave the reader."""
+    tail of a file leave the reader. Files of length 0 have no row; file sources skip them."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head, tail = F.substring("content", 1, 5), F.decode(F.substring(F.col("content"), F.greatest(F.lit(1), F.col("length").cast("int") - 2047), F.lit(2048)), "ISO-8859-1")
     error = (
         F.when(~F.lower("path").endswith(".pdf"), "not_a_pdf_name")
-        .when(F.col("length") == 0, "empty_file")
         .when(F.col("length") > max_mb * 1024 * 1024, "too_large")
         .when(head != F.lit(b"%PDF-"), "bad_magic_number")
         .when(~tail.contains("%%EOF"), "no_trailer")
@@ -42,7 +41,7 @@ def visible_text(html: F.Column) -> F.Column:
     t = F.regexp_replace(t, r"<[^<>]+>", " ")
     for entity, ch in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(ch))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\xA0]+", " "), r" ?\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t\x0B\xA0]+", " "), r" ?\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def broken_font_map(text: F.Column) -> F.Column:
