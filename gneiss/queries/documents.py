@@ -99,7 +99,7 @@ def contract(spark, d):
     ab = F.coalesce("a.abstained", F.lit(False))
     has = F.col("a").isNotNull()
     e = F.array_compact(F.array(
-        F.when(~has, "no_answer"), F.when(has & F.col("a.schema_version").isNull(), "no_schema_version"), F.when(has & ~ab & (F.trim(F.coalesce("a.answer", F.lit(""))) == ""), "empty_answer"), F.when(has & ~ab & (F.coalesce(F.size("a.claims"), F.lit(0)) == 0), "no_claim"),
+        F.when(~has, "no_answer"), F.when(has & F.col("a.schema_version").isNull(), "no_schema_version"), F.when(has & ~ab & (X.strip(F.coalesce("a.answer", F.lit(""))) == ""), "empty_answer"), F.when(has & ~ab & (F.coalesce(F.size("a.claims"), F.lit(0)) == 0), "no_claim"),
         F.when(has & ~ab & (F.coalesce(F.size("a.citations"), F.lit(0)) == 0), "no_citation"), F.when(has & ab & F.col("a.abstention_reason").isNull(), "no_reason"),
     ))
     return a.select("request_id", F.array_join(e, ",").alias("errors"))
@@ -117,5 +117,8 @@ ORACLES = {
     "LK-11": f"WITH {_T}{_H} SELECT chunk_id, count(*) AS courses, CASE WHEN count(v) = count(*) THEN sum(v) END AS credits FROM v GROUP BY 1",
     "JS-01": "SELECT p_brand, count(*)::INT AS n, sum(p_size)::BIGINT AS size FROM part GROUP BY 1",
     "MA-10": "WITH y AS (SELECT o_custkey, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders WHERE year(o_orderdate) IN (1995, 1996) GROUP BY 1, 2) SELECT a.o_custkey, round(b.v / a.v, 6) AS ratio FROM y a JOIN y b ON a.o_custkey = b.o_custkey AND a.y = 1995 AND b.y = 1996 WHERE a.v <> 0",
+    "JS-08": """WITH l AS (SELECT request_id, response, row_number() OVER (PARTITION BY request_id ORDER BY saved_at DESC) AS n FROM saved_answers WHERE request_id IS NOT NULL), a AS (SELECT request_id, response.answer AS a, coalesce(response.answer.abstained, false) AS ab FROM l WHERE n = 1)
+SELECT request_id, concat_ws(',', CASE WHEN a IS NULL THEN 'no_answer' END, CASE WHEN a IS NOT NULL AND a.schema_version IS NULL THEN 'no_schema_version' END, CASE WHEN a IS NOT NULL AND NOT ab AND regexp_full_match(coalesce(a.answer, ''), '[\\s\\p{Z}]*') THEN 'empty_answer' END, CASE WHEN a IS NOT NULL AND NOT ab AND coalesce(len(a.claims), 0) = 0 THEN 'no_claim' END,
+  CASE WHEN a IS NOT NULL AND NOT ab AND coalesce(len(a.citations), 0) = 0 THEN 'no_citation' END, CASE WHEN a IS NOT NULL AND ab AND a.abstention_reason IS NULL THEN 'no_reason' END) AS errors FROM a""",
     "VF-10": "SELECT CASE response.answer.abstention_reason WHEN 'no_evidence_found' THEN 'insufficient_evidence' WHEN 'no_candidate' THEN 'insufficient_evidence' WHEN 'below_score_threshold' THEN 'insufficient_evidence' WHEN 'provider_error' THEN 'provider_error' WHEN 'ambiguous_question' THEN 'ambiguous_question' ELSE 'unsupported_claim' END AS reason, count(*) AS n FROM saved_answers WHERE response.answer.abstention_reason IS NOT NULL GROUP BY 1",
 }

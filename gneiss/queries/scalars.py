@@ -184,11 +184,13 @@ ORACLES = {
     "FN-06": f"WITH {_Q}, v AS (SELECT DISTINCT unnest({_W6.format(c='content')}) AS w FROM evidence_records), k AS (SELECT DISTINCT unnest({_W6.format(c='q')}) AS w FROM q), u AS (SELECT w FROM k WHERE w NOT IN (SELECT w FROM v)), i AS (SELECT w, unnest(generate_series(1, length(w))) AS i FROM u), c AS (SELECT w, substr(w, 1, i - 1) || substr(w, i + 1) AS fix FROM i UNION SELECT w, substr(w, 1, i - 1) || substr(w, i + 1, 1) || substr(w, i, 1) || substr(w, i + 2) FROM i WHERE i < length(w)), h AS (SELECT w, fix, row_number() OVER (PARTITION BY w ORDER BY fix) AS n FROM c WHERE fix IN (SELECT w FROM v)) SELECT w, fix FROM h WHERE n <= 2",
     "FN-08": f"WITH {_A}, x AS (SELECT request_id, list_transform(regexp_extract_all(coalesce(a, ''), '{X.CODE}'), lambda x: upper(x)) AS c FROM a) SELECT request_id, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), ',') AS codes FROM x",
     "FN-16": "WITH e AS (SELECT chunk_id, min(source_name) AS s, min(document_version) AS v, min(page) AS page FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT chunk_id, '[' || concat_ws(' | ', nullif(s, ''), v, 'Page: ' || page) || ']' AS header FROM e",
+    "FN-21": f"WITH {_A}, s AS (SELECT request_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(a, '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: regexp_replace(x, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), lambda x: x <> '') AS s FROM a) SELECT request_id, unnest(generate_series(0, len(s) - 1))::INT AS pos, unnest(s) AS claim FROM s WHERE len(s) > 0",
     "FN-22": "SELECT doc_id, ceil(length(text) / 4.0::DOUBLE)::INT AS tokens, strlen(text) + 1024 AS bytes FROM documents",
     "FN-23": f"WITH f AS (SELECT doc_id, {fold_sql('text')} AS f FROM documents), n AS (SELECT doc_id, len(regexp_extract_all(f, '\\b(?:{'|'.join(X.VI_WORDS.split())})\\b')) AS vi, len(regexp_extract_all(f, '\\b(?:{'|'.join(X.EN_WORDS.split())})\\b')) AS en FROM f) SELECT doc_id, CASE WHEN vi > en THEN 'vi' ELSE 'en' END AS language, round(least(0.99::DOUBLE, 0.55::DOUBLE + 0.08::DOUBLE * abs(vi - en)), 6) AS confidence FROM n",
     "DT-01": "SELECT DISTINCT effective_date, CASE WHEN regexp_matches(effective_date, '\\b\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}\\b') THEN try_strptime(regexp_extract(effective_date, '\\b\\d{1,2}[/-]\\d{1,2}[/-]\\d{4}\\b'), ['%d/%m/%Y', '%d-%m-%Y'])::DATE WHEN regexp_matches(effective_date, '\\b\\d{4}[/-]\\d{1,2}[/-]\\d{1,2}\\b') THEN try_strptime(regexp_extract(effective_date, '\\b\\d{4}[/-]\\d{1,2}[/-]\\d{1,2}\\b'), ['%Y-%m-%d', '%Y/%m/%d'])::DATE WHEN regexp_matches(lower(effective_date), 'ngày\\s+\\d{1,2}\\s+tháng\\s+\\d{1,2}\\s+năm\\s+\\d{4}') THEN try_strptime(regexp_replace(lower(effective_date), '.*ngày\\s+(\\d{1,2})\\s+tháng\\s+(\\d{1,2})\\s+năm\\s+(\\d{4}).*', '\\1/\\2/\\3'), '%d/%m/%Y')::DATE WHEN regexp_matches(effective_date, '\\b\\d{1,2}\\s+[A-Za-z]{3,9}\\s+\\d{4}\\b') THEN try_strptime(regexp_extract(effective_date, '\\b\\d{1,2}\\s+[A-Za-z]{3,9}\\s+\\d{4}\\b'), ['%d %B %Y', '%d %b %Y'])::DATE END AS day FROM evidence_records WHERE effective_date IS NOT NULL",
     "MA-01": "SELECT o_orderkey, round(o_totalprice, 2) AS en, round(o_totalprice, 2) AS vi, -round(o_totalprice, 2) AS negative FROM orders",
     "MA-02": "SELECT p_partkey, p_size || '.' || (p_partkey % 10) AS value FROM part",
+    "MA-03": f"WITH {_A}, p AS (SELECT request_id, list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(a, ''), '([0-9]+(?:[.,][0-9]+)?)\\s*(?:%|percent|phần trăm|pour cent)', 1), lambda x: replace(x, ',', '.')::DECIMAL(18, 4)))) AS p FROM a) SELECT request_id, array_to_string(list_transform(p, lambda x: round(x, 2)::DECIMAL(18, 2)::VARCHAR), ',') AS percentages FROM p",
     "MA-05": "WITH z AS (SELECT DISTINCT request_id, round(greatest(0::DOUBLE, least(1::DOUBLE, 0.3::DOUBLE * CASE WHEN response.ok THEN 1 ELSE 0 END + 0.35::DOUBLE * CASE WHEN len(response.answer.claims) > 0 THEN len(list_filter(response.answer.claims, lambda c: c.status = 'supported')) / len(response.answer.claims) ELSE 0 END + 0.15::DOUBLE * CASE WHEN len(response.answer.citations) > 0 THEN 1 ELSE 0 END + 0.1::DOUBLE + 0.1::DOUBLE)), 6) AS score FROM saved_answers WHERE request_id IS NOT NULL AND response.answer IS NOT NULL) SELECT request_id, score, CASE WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.65::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM z",
     "MA-13": "WITH x AS (SELECT vec_id, label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, round(avg(x::DOUBLE), 9) AS m FROM x GROUP BY 1, 2) SELECT vec_id, round(sum(x::DOUBLE * m), 5) AS similarity FROM x JOIN m USING (label, i) GROUP BY 1",
     "MA-14": "WITH b AS (SELECT c_custkey, ('0x' || sha256(c_custkey::VARCHAR)[1:8])::BIGINT % 100 AS bucket FROM customer) SELECT c_custkey, bucket, bucket < 25 AS chosen FROM b",
