@@ -91,3 +91,10 @@ def ship(spark: SparkSession) -> None:
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gneiss-ship-')}/gneiss", "zip", root.parent, root.name)
     sc.addPyFile(made)
     _shipped.add(sc.applicationId)
+
+
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table scan over at least as many partitions as there are cores, for work that
+    costs much more than moving the rows. A scan with enough splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *keys)
