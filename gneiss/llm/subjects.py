@@ -9,6 +9,7 @@ probabilities of label combinations; beam search finds the most likely one.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -50,11 +51,19 @@ class TermModel:
     weight: np.ndarray
     info: np.ndarray
 
-    def scores(self, sentence: str) -> np.ndarray | None:
-        """Mean log odds over the sentence's terms, weighed by information; None without terms."""
-        at = [i for t in terms(sentence) if (i := self.vocabulary.get(t)) is not None]
-        total = float(self.info[at].sum()) if at else 0.0
-        return self.weight[at].sum(0) / total if total > 1e-9 else None
+    def scores(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For the sentences that hold known terms, their places and the mean log odds over their
+        terms, weighed by information."""
+        known = [[i for t in terms(s) if (i := self.vocabulary.get(t)) is not None] for s in found]
+        which = np.array([k for k, at in enumerate(known) if at], dtype=np.int64)
+        if not len(which):
+            return which, np.zeros((0, self.weight.shape[1]))
+        lens = np.array([len(known[k]) for k in which])
+        at = np.fromiter((i for k in which for i in known[k]), dtype=np.int64, count=int(lens.sum()))
+        begin = np.cumsum(lens) - lens
+        total = np.add.reduceat(self.info[at].astype(np.float64), begin)
+        ok = total > 1e-9
+        return which[ok], np.add.reduceat(self.weight[at].astype(np.float64), begin, axis=0)[ok] / total[ok, None]
 
 
 def fit_terms(docs: list[list[str]], labels: list[list[int]], k: int, background: int | None, rounds: int = 8, smooth: float = 0.3) -> TermModel:
@@ -105,12 +114,11 @@ def describe(text: str | None, source: str | None, kind: str | None, model: Term
     """Features of each subject in a document, and features of the document."""
     found = sentences(text or "")
     count, strength = np.zeros(k), np.zeros(k)
-    for s in found:
-        z = model.scores(s)
-        if z is not None:
-            b = int(z.argmax())
-            count[b] += 1
-            strength[b] += z[b]
+    _, z = model.scores(found)
+    if len(z):
+        best = z.argmax(1)
+        count += np.bincount(best, minlength=k)
+        strength += np.bincount(best, weights=z[np.arange(len(z)), best], minlength=k)
     n = max(1, len(found))
     share = count / n
     top = max(share.max(), 1e-9)
@@ -157,21 +165,28 @@ class ChainModel:
 
     def decode(self, own: np.ndarray, doc: np.ndarray, beam: int = 8) -> tuple[list[int], float]:
         """Most likely set of subjects and its probability, by beam search along the chain."""
-        k = len(self.subjects)
-        beams = [(0.0, np.zeros(k))]
-        for j in range(k):
-            s = self.order[j]
-            rows = np.stack([_row(own[s], doc, b, j, k) for _, b in beams])
-            z = np.clip(rows @ self.weights, -30, 30)
+        k, w = len(self.subjects), self.weights
+        f, d = own.shape[1], len(doc)
+        # what of each subject's input (see _row) does not depend on the decisions before it
+        o = own[self.order]
+        at = 3 * f + d
+        fixed = o @ (w[:f] + doc[1] * w[f : 2 * f] + doc[2] * w[2 * f : 3 * f]) + 0.3 * float(doc @ w[3 * f : at])
+        fixed = fixed + 0.5 * w[at : at + k] + o[:, 0] * w[at + k : at + 2 * k]
+        one, taken1, taken2, own0, own1 = w[at + 2 * k : at + 2 * k + 5].tolist()
+        before = (0.5 * w[at + 2 * k + 5 :]).tolist()
+        some = (o[:, 0] * own0 + o[:, 1] * own1).tolist()
+        beams: list[tuple[float, tuple[int, ...], float]] = [(0.0, (), 0.0)]
+        for j, base in enumerate(fixed.tolist()):
             grown = []
-            for (lp, b), v in zip(beams, z):
-                yes, no = -np.log1p(np.exp(-v)), -np.log1p(np.exp(v))
-                with_it = b.copy()
-                with_it[j] = 1
-                grown += [(lp + yes, with_it), (lp + no, b)]
+            for lp, chosen, carried in beams:
+                n = len(chosen)
+                v = base + one + carried + taken1 * n + (taken2 if n >= 2 else 0.0) + (some[j] if n else 0.0)
+                v = max(-30.0, min(30.0, v))
+                grown.append((lp - math.log1p(math.exp(-v)), (*chosen, j), carried + before[j]))
+                grown.append((lp - math.log1p(math.exp(v)), chosen, carried))
             beams = sorted(grown, key=lambda x: -x[0])[:beam]
-        lp, best = beams[0]
-        return [self.order[j] for j in range(k) if best[j]], float(np.exp(lp))
+        lp, best, _ = beams[0]
+        return [self.order[j] for j in best], math.exp(lp)
 
 
 def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: list[str]) -> ChainModel:
