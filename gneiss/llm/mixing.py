@@ -29,7 +29,7 @@ def measured(documents: DataFrame, path: str = f"{TOKENIZERS}/{DEFAULT}") -> Dat
     ship(documents.sparkSession)
     d = distinct_texts(documents)
     sized = d.select("doc_id", "variant", "copies", "source", token_count(path)("text").alias("tokens"))
-    return sized.select("doc_id", "variant", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "source", "tokens").where("tokens > 0")
+    return sized.select("doc_id", "variant", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "source", "tokens")
 
 
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
