@@ -65,7 +65,8 @@ def sweep(spark, d):
 
 
 def isotonic(spark, d):
-    return A.isotonic(_scored(spark, d), "score", "label")
+    """Steps of the fit; neighbouring blocks of one value are one step of the function."""
+    return A.isotonic(_scored(spark, d), "score", "label").groupBy("value").agg(F.max("threshold").alias("threshold"))
 
 
 def type_votes(spark, d):
@@ -155,6 +156,9 @@ ORACLES = {
     "AGG-11": "WITH v AS (SELECT scope, latency_ms AS value, row_number() OVER (PARTITION BY scope ORDER BY latency_ms) AS r, count(*) OVER (PARTITION BY scope) AS n FROM responses WHERE latency_ms > 0 AND isfinite(latency_ms)) SELECT scope, max(n) AS n, min(value) FILTER (WHERE r = (n * 50 + 99) // 100) AS p50, min(value) FILTER (WHERE r = (n * 95 + 99) // 100) AS p95 FROM v GROUP BY 1",
     "AGG-12": f"WITH {_SC}, b AS (SELECT least(floor(score * 10), 9) AS b, count(*) AS k, sum(score) AS ss, sum(label) AS sy, sum((score - label) * (score - label)) AS sq FROM sc WHERE score BETWEEN 0 AND 1 GROUP BY 1) SELECT sum(k)::BIGINT AS n, round(sum(sq) / sum(k), 6) AS brier, round(sum(abs(ss - sy)) / sum(k), 6) AS ece FROM b",
     "AGG-13": f"WITH {_SC}, c AS (SELECT DISTINCT s FROM (SELECT score AS s FROM sc UNION ALL SELECT 0.0::DOUBLE)), m AS (SELECT s, (SELECT sum(label) FROM sc WHERE score >= s) / (SELECT sum(label) FROM sc)::DOUBLE AS recall, (SELECT sum(1 - label) FROM sc WHERE score >= s) / (SELECT sum(1 - label) FROM sc)::DOUBLE AS fpr FROM c) SELECT round(s, 8) AS threshold, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM m WHERE recall >= 0.3::DOUBLE AND fpr <= 0.9::DOUBLE ORDER BY s DESC LIMIT 1",
+    "AGG-14": f"""WITH {_SC}, g AS (SELECT greatest(0.0::DOUBLE, least(1.0::DOUBLE, score)) AS s, count(*) AS n, sum(label) AS y FROM sc GROUP BY 1), c AS (SELECT s, sum(n) OVER (ORDER BY s) AS cn, sum(y) OVER (ORDER BY s) AS cy, n, y FROM g),
+m AS (SELECT a.s AS s, b.s AS lo, min((e.cy - (b.cy - b.y)) / (e.cn - (b.cn - b.n))::DOUBLE) AS m FROM c a JOIN c b ON b.s <= a.s JOIN c e ON e.s >= a.s GROUP BY 1, 2), f AS (SELECT s, round(max(m), 8) AS value FROM m GROUP BY 1)
+SELECT max(s) AS threshold, value FROM f GROUP BY value""",
     "AGG-15": f"WITH f AS (SELECT doc_id, {fold_sql('text')} AS f FROM documents), n AS (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(f, '{p}')) AS n{i}" for i, (_, p) in enumerate(X.DOCUMENT_TYPES)) + f" FROM f) SELECT doc_id, {_DT} AS document_type FROM n",
     "AGG-16": "WITH v AS (SELECT doc_id, chunk_id, nullif(document_version, '') AS x FROM evidence_records WHERE doc_id IS NOT NULL) SELECT doc_id, CASE WHEN min(lower(x)) = max(lower(x)) THEN arg_min(x, chunk_id) FILTER (WHERE x IS NOT NULL) END AS version FROM v GROUP BY 1",
     "AGG-17": "SELECT status, count(*) AS n FROM attempts GROUP BY 1",

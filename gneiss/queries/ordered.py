@@ -118,6 +118,7 @@ ORACLES = {
     "FN-18": f"WITH {_L}, {_LV} SELECT chunk_id, pos, level FROM lv WHERE level > 0",
     "WIN-04": f"WITH {_L}, {_LV}, {_SEC} SELECT chunk_id, pos, section::BIGINT AS section, off::BIGINT AS \"offset\" FROM o",
     "WIN-06": f"WITH {_L}, {_LV}, {_SEC} SELECT chunk_id, section::BIGINT AS section, max(off)::BIGINT AS last_offset FROM o GROUP BY 1, 2",
+    "WIN-03": f"WITH {_L}, {_LV}, w AS (SELECT chunk_id, pos, level, " + ", ".join(f"max(CASE WHEN level = {k} THEN pos END) OVER v AS p{k}, last_value(CASE WHEN level = {k} THEN trim(line) END IGNORE NULLS) OVER v AS h{k}" for k in range(1, 7)) + " FROM lv WINDOW v AS (PARTITION BY chunk_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT chunk_id, heading, count(*) AS lines FROM (SELECT chunk_id, concat_ws(' > ', " + ", ".join(f"CASE WHEN p{k} > greatest(-1, {', '.join([f'coalesce(p{j}, -1)' for j in range(1, k)] or ['-1'])}) THEN h{k} END" for k in range(1, 7)) + ") AS heading FROM w WHERE level = 0) GROUP BY 1, 2",
     "WIN-05": "WITH a AS (SELECT request_id, min(response.answer.answer) AS a FROM saved_answers WHERE request_id IS NOT NULL GROUP BY 1), x AS (SELECT request_id, regexp_split_to_array(a, '[\\n\\f]') AS a FROM a), l AS (SELECT request_id, unnest(generate_series(0, len(a) - 1)) AS pos, unnest(a) AS line FROM x), n AS (SELECT request_id, pos, regexp_extract(line, '^\\s*(\\d{1,9})[.)]\\s+\\S', 1)::BIGINT AS number FROM l WHERE regexp_matches(line, '^\\s*(\\d{1,9})[.)]\\s+\\S')), r AS (SELECT *, count(*) OVER (PARTITION BY request_id, pos - number) AS k FROM n) SELECT request_id, pos, number FROM r WHERE k >= 2",
     "WIN-08": "WITH i AS (SELECT *, sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, island ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM i",
     "AGG-07": "WITH i AS (SELECT *, sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) SELECT user_id, island::BIGINT AS island, count(*) AS n, round(sum(value), 4) AS subtotal FROM i GROUP BY 1, 2",
