@@ -61,15 +61,20 @@ def look(text: str) -> str:
 _TO_LATIN = str.maketrans(LOOKALIKES, LATIN_FOR)
 
 
+@lru_cache(maxsize=64)  # one text is asked for several times in a row
 def plain(text: str) -> str:
     """``look`` with every look-alike letter made Latin, for matching patterns of Latin text."""
     return unicodedata.normalize("NFC", look(text).translate(_TO_LATIN))
 
 
+_MARKS = re.compile("[\u0300-\u036f]+")
+
+
+@lru_cache(maxsize=64)
 def folded(text: str) -> str:
     """Lower case without accents."""
-    d = unicodedata.normalize("NFD", plain(text).casefold()).replace("đ", "d")
-    return "".join(c for c in d if not unicodedata.combining(c))
+    low = plain(text).casefold()
+    return low if low.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", low).replace("đ", "d"))
 
 
 # Frequent function words by which languages are told apart.
