@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import with_tokens
+from gneiss.runtime import keep
 
 K1, B = 1.5, 0.75
 
@@ -25,9 +26,12 @@ def term_counts(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return toks.withColumn("length", F.size("t")).select("item_id", "length", F.explode_outer("t").alias("term")).where("term is not null").groupBy("item_id", "length", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
 
 
-def corpus_stats(items: DataFrame, text: str) -> DataFrame:
-    """One row: number of items and their mean length in tokens."""
-    return with_tokens(items.select(text), text).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avgdl"))
+def corpus_stats(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: number of items and their mean length in tokens. Lengths are the sums of the
+    term counts, so no text is read a second time; items without terms count with length 0."""
+    n = items.agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("_sum"))
+    return n.crossJoin(F.broadcast(total)).select("n", (F.col("_sum") / F.greatest(F.lit(1), F.col("n"))).alias("avgdl"))  # one row each
 
 
 def query_terms(queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -194,7 +198,8 @@ def hybrid(items: DataFrame, questions: DataFrame, k: int = 5, embedding=None, r
     embedding = embedding or hash_embedding
     guarded = questions.withColumn("guard", query_guard(F.col("question")))
     asked = guarded.where("guard is null")
-    lexical = top_k(bm25(term_counts(items, "item_id", "content"), corpus_stats(items, "content"), query_terms(asked, "query_id", "question")), candidates)
+    counts = keep(term_counts(items, "item_id", "content"))
+    lexical = top_k(bm25(counts, corpus_stats(items, counts), query_terms(asked, "query_id", "question")), candidates)
     vectors = items.select("item_id", embedding("content").alias("vector"))
     dense = top_k(dense_search(vectors, asked.select("query_id", embedding("question").alias("vector")), candidates), candidates)
     fused = rrf({"bm25": lexical, "dense": dense}, rrf_k, {"bm25": 1.0, "dense": 1.2})

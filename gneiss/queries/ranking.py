@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import text as X
 from gneiss.operators import ranking as R
-from gneiss.runtime import table
+from gneiss.runtime import keep, table
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +30,8 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 def _bm25(spark, d):
     items = chunks(spark, d)
-    return R.bm25(R.term_counts(items, "item_id", "content"), R.corpus_stats(items, "content"), R.query_terms(questions(spark, d), "query_id", "question"))
+    counts = keep(R.term_counts(items, "item_id", "content"))
+    return R.bm25(counts, R.corpus_stats(items, counts), R.query_terms(questions(spark, d), "query_id", "question"))
 
 
 def bm25_top(spark, d):
@@ -40,7 +41,8 @@ def bm25_top(spark, d):
 def body_bm25(spark, d):
     """BM25 over the text without its first line, the generated or printed header."""
     items = chunks(spark, d).withColumn("content", F.regexp_replace("content", r"^[^\n]*\n", ""))
-    s = R.bm25(R.term_counts(items, "item_id", "content"), R.corpus_stats(items, "content"), R.query_terms(questions(spark, d), "query_id", "question"))
+    counts = keep(R.term_counts(items, "item_id", "content"))
+    s = R.bm25(counts, R.corpus_stats(items, counts), R.query_terms(questions(spark, d), "query_id", "question"))
     return R.top_k(s, 5).select("query_id", "item_id", "rank", F.round("score", 5).alias("score"))
 
 

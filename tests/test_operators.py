@@ -22,7 +22,8 @@ def one(spark, value, f, kind="string"):
 def bm25(spark, query):
     items = spark.createDataFrame([("a", "alpha beta beta"), ("b", "alpha gamma"), ("c", "delta beta")], "item_id string, content string")
     q = spark.createDataFrame([("q", query)], "query_id string, question string")
-    s = R.bm25(R.term_counts(items, "item_id", "content"), R.corpus_stats(items, "content"), R.query_terms(q, "query_id", "question"))
+    counts = R.term_counts(items, "item_id", "content")
+    s = R.bm25(counts, R.corpus_stats(items, counts), R.query_terms(q, "query_id", "question"))
     return {r["item_id"]: (r["score"], r["rank"]) for r in R.top_k(s, 10).collect()}
 
 
@@ -38,7 +39,8 @@ def test_bm25_known_scores(spark):
 def test_bm25_scope_keeps_the_index_statistics(spark):
     items = spark.createDataFrame([(f"i{k}", f"word{k} common") for k in range(6)], "item_id string, content string")
     q = spark.createDataFrame([("q", "common")], "query_id string, question string")
-    counts, stats, terms = R.term_counts(items, "item_id", "content"), R.corpus_stats(items, "content"), R.query_terms(q, "query_id", "question")
+    counts = R.term_counts(items, "item_id", "content")
+    stats, terms = R.corpus_stats(items, counts), R.query_terms(q, "query_id", "question")
     full = {r["item_id"]: r["score"] for r in R.bm25(counts, stats, terms).collect()}
     part = {r["item_id"]: r["score"] for r in R.bm25(counts, stats, terms, items.where("item_id in ('i1','i2')").select("item_id")).collect()}
     assert part == {k: full[k] for k in ("i1", "i2")}
