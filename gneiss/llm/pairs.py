@@ -241,16 +241,18 @@ def sentence_ends(texts: DataFrame) -> DataFrame:
     """``(gram, ends, goes_on, stops)`` for every run of one to seven words of ``(text)``: how often
     a full stop follows, something else follows, or the text stops."""
     t = texts.select(_tokens(F.col("text")).alias("t"))
-    at = t.select("t", F.explode(F.sequence(F.lit(2), F.greatest(F.size("t"), F.lit(2)))).alias("i")).where(F.col("i") <= F.size("t"))
-    nxt = F.try_element_at("t", F.col("i") + 1)
-    at = at.where(F.element_at("t", F.col("i")).rlike(r"[\p{L}#]")).select("t", "i", nxt.alias("nxt"))
-    grams = at.select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.col("i"))), lambda n: F.xxhash64(F.concat_ws(" ", F.slice("t", F.col("i") - n + 1, n))))).alias("gram"),
-        F.coalesce(_ended(F.col("nxt")), F.lit(False)).cast("int").alias("e"),
-        F.coalesce(~_ended(F.col("nxt")), F.lit(False)).cast("int").alias("g"),
-        F.col("nxt").isNull().cast("int").alias("s"),
-    )
-    return grams.groupBy("gram").agg(F.sum("e").alias("ends"), F.sum("g").alias("goes_on"), F.sum("s").alias("stops"))
+
+    def runs_to(i: Column) -> Column:
+        nxt = F.try_element_at("t", i + 1)
+        kind = F.when(nxt.isNull(), 2).when(_ended(nxt), 0).otherwise(1)
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(_GRAM), i)), lambda n: F.struct(F.xxhash64(F.concat_ws(" ", F.slice("t", i - n + 1, n))).alias("gram"), kind.alias("kind")))
+
+    # one array a text, so that the text's words are not copied to each of its runs; the outer
+    # form spares a filter that would build the array a second time
+    places = F.filter(F.sequence(F.lit(2), F.greatest(F.size("t"), F.lit(2))), lambda i: F.coalesce(F.try_element_at("t", i).rlike(r"[\p{L}#]"), F.lit(False)))
+    grams = t.select(F.explode_outer(F.flatten(F.transform(places, runs_to))).alias("g")).where("g is not null").select("g.gram", "g.kind")
+    one = lambda k: F.sum((F.col("kind") == k).cast("int"))
+    return grams.groupBy("gram").agg(one(0).alias("ends"), one(1).alias("goes_on"), one(2).alias("stops"))
 
 
 def unfinished(open_answers: DataFrame, ends: DataFrame) -> DataFrame:
