@@ -76,3 +76,22 @@ def test_ingest_resumes(spark, tmp_path):
     spark.range(2).write.mode("append").parquet(str(tmp_path / "t.parquet"))
     S.ingest(S.table_stream(spark, str(tmp_path), "t"), sink, str(tmp_path / "state"))
     assert sum(n for _, n in seen) == 5
+
+
+def test_job_states(spark, tmp_path):
+    rows = [("j1", "reserved", 1), ("j1", "failed", 3), ("j1", "completed", 5), ("j1", "failed", 4), ("j2", "failed", 2), ("j2", None, 1)]
+    spark.createDataFrame(rows, "job string, status string, at long").coalesce(1).write.parquet(str(tmp_path / "jobs.parquet"))
+    got = {}
+
+    def sink(df, n):
+        got.update({r["job"]: r["status"] for r in df.collect()})
+
+    q = S.job_states(S.table_stream(spark, str(tmp_path), "jobs")).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got == {"j1": "completed", "j2": "failed"}
+
+
+def test_broken_font_map(spark):
+    bad, good = "Ａ" * 100 + "", "ordinary text"
+    d = spark.createDataFrame([(bad,), (good,)], "t string").select("t", readers.broken_font_map(F.col("t")).alias("b"))
+    assert {r["t"][:3]: r["b"] for r in d.collect()} == {"ＡＡＡ": True, "ord": False}
