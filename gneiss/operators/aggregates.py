@@ -42,19 +42,30 @@ def numeric_conflicts(rows: DataFrame, group: str, text: str) -> DataFrame:
 def metric_summary(rows: DataFrame, group: Sequence[str], value: str, pcts: Sequence[int] = (50, 95, 99), ties_to_even: bool = True) -> DataFrame:
     """Exact percentiles ``(*group, n, p50, ...)``. With ``ties_to_even`` the place is
     round(p/100 * n + 0.5), halves to even, as a service metric reports it; without, it is the
-    nearest rank ceil(p/100 * n). NULL and NaN values are left out.
+    nearest rank ceil(p/100 * n). NULL and NaN values and rows with a NULL group are left out.
 
-    Values are counted by value before the ordered pass, and the pass runs over running counts,
-    so a hot group costs as many rows as it has distinct values."""
-    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    Values are counted by value, then by ranges of value; only the range that holds a place is
+    put in order, so no task sorts a whole group."""
+    counts = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", value_range(F.col(value)))
     w = Window.partitionBy(*group)
-    upto = counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_u", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = counts.groupBy(*group, "_b").agg(F.sum("_c").alias("_k"))
+    ranges = ranges.withColumn("n", F.sum("_k").over(w)).withColumn("_u", F.sum("_k").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
 
     def place(p: int) -> Column:
-        raw = F.bround(F.lit(p / 100.0) * F.col("_n") + 0.5) if ties_to_even else F.floor((F.col("_n") * F.lit(p) + 99) / 100)
-        return F.least(F.col("_n"), F.greatest(F.lit(1), raw.cast("long")))
+        raw = F.bround(F.lit(p / 100.0) * F.col("n") + 0.5) if ties_to_even else F.floor((F.col("n") * F.lit(p) + 99) / 100)
+        return F.least(F.col("n"), F.greatest(F.lit(1), raw.cast("long")))
 
-    return upto.groupBy(*group).agg(F.max("_n").alias("n"), *[F.min(F.when(F.col("_u") >= place(p), F.col(value))).alias(f"p{p}") for p in pcts])
+    wanted = ranges.select(*group, "_b", "n", "_u", "_k", F.explode(F.array(*[F.struct(F.lit(p).alias("p"), place(p).alias("at")) for p in pcts])).alias("t")).where("t.at <= _u and t.at > _u - _k")
+    wanted = wanted.select(*group, "_b", "n", F.col("t.p").alias("_p"), (F.col("t.at") - (F.col("_u") - F.col("_k"))).alias("_at"))
+    inside = counts.join(wanted, [*group, "_b"]).withColumn("_run", F.sum("_c").over(Window.partitionBy(*group, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).where("_run >= _at")
+    return inside.groupBy(*group).agg(F.max("n").alias("n"), *[F.min(F.when(F.col("_p") == p, F.col(value))).alias(f"p{p}") for p in pcts])
+
+
+def value_range(v: Column, fine: int = 128) -> Column:
+    """Number of a range of values, ascending with the value: about ``fine`` ranges to each factor
+    of e."""
+    x = v.cast("double")
+    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * fine).cast("long")
 
 
 def calibration(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
@@ -73,9 +84,12 @@ def threshold_sweep(rows: DataFrame, score: str, label: str, min_recall: float =
     counted first, the ordered pass runs over distinct scores."""
     by = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
     by = by.unionByName(rows.sparkSession.createDataFrame([(0.0, 0, 0)], "s double, p long, q long")).groupBy("s").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    by = by.withColumn("_b", value_range(F.col("s"), 4096))
+    down = Window.partitionBy("_b").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
+    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # over ranges of score, some thousands
+    ranges = by.groupBy("_b").agg(F.sum("p").alias("rp"), F.sum("q").alias("rq")).select("_b", F.coalesce(F.sum("rp").over(above), F.lit(0)).alias("up"), F.coalesce(F.sum("rq").over(above), F.lit(0)).alias("uq"))
     total = by.agg(F.sum("p").alias("tp"), F.sum("q").alias("tq"))
-    run = by.select("s", F.sum("p").over(down).alias("ap"), F.sum("q").over(down).alias("aq")).crossJoin(F.broadcast(total)).where("tp > 0 and tq > 0")  # total: one row
+    run = by.join(ranges, "_b").select("s", (F.col("up") + F.sum("p").over(down)).alias("ap"), (F.col("uq") + F.sum("q").over(down)).alias("aq")).crossJoin(F.broadcast(total)).where("tp > 0 and tq > 0")  # total: one row
     ok = run.select(F.round("s", 8).alias("threshold"), (F.col("ap") / F.col("tp")).alias("recall"), (F.col("aq") / F.col("tq")).alias("fpr")).where((F.col("recall") >= min_recall) & (F.col("fpr") <= max_fpr))
     return ok.orderBy(F.desc("threshold"), F.desc("recall"), "fpr").limit(1)
 

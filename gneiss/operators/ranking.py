@@ -71,11 +71,11 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int, block: int = 51
     spark = vectors.sparkSession
     schema = "query_id string, item_id string, score double"
     ids = queries.where("query_id is not null and vector is not null").select(F.col("query_id").cast("string").alias("query_id"), "vector")
-    numbered = ids.withColumn("_block", F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / block))
-    blocks = [r["_block"] for r in numbered.select("_block").distinct().orderBy("_block").collect()]
+    n_blocks = -(-ids.count() // block)
+    numbered = ids.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_blocks))))
     out = None
-    for b in blocks:
-        rows = numbered.where(F.col("_block") == b).select("query_id", "vector").collect()  # at most `block` vectors
+    for b in range(n_blocks):
+        rows = numbered.where(F.col("_block") == b).select("query_id", "vector").collect()  # about `block` vectors
         rows = [r for r in rows if all(x is not None for x in r["vector"])]
         by_size: dict[int, tuple[list, np.ndarray]] = {}
         for n in {len(r["vector"]) for r in rows}:
