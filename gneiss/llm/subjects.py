@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gneiss.llm.text import plain
-from gneiss.runtime import ship, table
+from gneiss.runtime import ship, spread, table
 
 #: At most this many labelled documents, chosen by a hash of their ids, train the model.
 MAX_LABELLED = 5_000
@@ -253,7 +253,8 @@ def subjects_of(documents: DataFrame, model: ChainModel) -> DataFrame:
                 out += [(i, m.subjects[s], float(own[s, 0]), p) for s in chosen]
             yield pd.DataFrame(out, columns=["doc_id", "subject", "share", "confidence"])
 
-    found = documents.where("doc_id is not null").select("doc_id", "text", "source", "doc_kind").mapInPandas(run, "doc_id long, subject string, share double, confidence double")
+    rows = spread(documents.where("doc_id is not null").select("doc_id", "text", "source", "doc_kind"), "doc_id")
+    found = rows.mapInPandas(run, "doc_id long, subject string, share double, confidence double")
     return found.groupBy("doc_id", "subject").agg(F.max("share").alias("share"), F.max("confidence").alias("confidence"))
 
 
@@ -265,8 +266,8 @@ def _all(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ChainM
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subjects of the documents that have no label."""
     documents, labels, model = _all(spark, sf_dir)
-    rest = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    return subjects_of(rest, model).select("doc_id", "subject")
+    # the labelled ones are left out of the result, which is far smaller than the texts
+    return subjects_of(documents, model).join(labels.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject")
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
