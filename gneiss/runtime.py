@@ -59,11 +59,12 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, least
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", hot: DataFrame | None = None, least: int = 100_000) -> DataFrame:
     """Equi-join in which the rows of hot left keys are spread over ``SALTS`` partitions and
-    the matching right rows are repeated that often. ``right`` should hold few rows a key."""
+    the matching right rows are repeated that often. ``right`` should hold few rows a key. The
+    salt is a hash of the row, so a task that runs again sends its rows the same way."""
     hot = hot_keys(left, on, least=least) if hot is None else hot
     mark = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
     spread = left.join(mark, list(on), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.floor(F.rand(7) * SALTS).cast("int")).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     ).drop("_hot")
     copied = right.join(mark, list(on), "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
