@@ -95,17 +95,17 @@ def neighbours(spark, d):
 
 
 def proofs(spark, d):
-    """Retrieved chunks whose text and page the evidence row of the same id bears out."""
+    """Retrieved chunks whose whole text and page the evidence row of the same id bears out."""
     e = table(spark, d, "evidence_records").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("content").alias("body"), F.min("page").alias("p"))
-    r = table(spark, d, "retrieval_results").where("chunk_id is not null and content is not null").select("chunk_id", "page", F.substring("content", 1, 80).alias("quote")).distinct()
+    r = table(spark, d, "retrieval_results").where("chunk_id is not null and content is not null").select("chunk_id", "page", F.col("content").alias("quote")).distinct()
     return r.join(e, "chunk_id").where(F.col("body").contains(F.col("quote")) & (F.col("p") == F.col("page"))).select("chunk_id", "page").distinct()
 
 
 def citations(spark, d):
     """Errors of every retrieved row taken as a citation: unknown chunk, other document, page
-    out of range, quote not in the text."""
+    out of range, quote not in the text. The quote is the whole text of the row."""
     e = table(spark, d, "evidence_records").where("chunk_id is not null").groupBy("chunk_id").agg(F.min("doc_id").alias("d"), F.min("content").alias("body"), F.min("page").alias("p"))
-    r = table(spark, d, "retrieval_results").select("query_id", "chunk_id", "doc_id", "page", F.substring("content", 1, 60).alias("quote")).distinct()
+    r = table(spark, d, "retrieval_results").select("query_id", "chunk_id", "doc_id", "page", F.col("content").alias("quote")).distinct()
     j = r.join(e, "chunk_id", "left")
     known = F.col("d").isNotNull()
     errors = F.array_compact(F.array(F.when(~known, "unknown_chunk"), F.when(known & ~F.col("d").eqNullSafe(F.col("doc_id")), "other_document"), F.when(known & ~F.col("p").eqNullSafe(F.col("page")), "other_page"), F.when(known & ~F.coalesce(F.col("body").contains(F.col("quote")), F.lit(False)), "quote_not_found")))

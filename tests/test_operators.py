@@ -286,3 +286,14 @@ def test_repairs(spark):
 def test_heading_levels(spark):
     got = [one(spark, x, X.heading_level) for x in ("## A", "2.4 Thesis", "Điều 5", "GENERAL RULES", "AB123", "3 credits", "2. He came, and left.", "plain text", "", None)]
     assert got == [2, 2, 1, 1, 0, 0, 0, 0, 0, 0]
+
+
+# ------------------------------------------------------------ whole quotes
+def test_quotes_are_compared_whole(spark, tmp_path):
+    from gneiss.queries import relational as Q
+
+    head = "Course catalogue 2024, generated header, " * 4
+    spark.createDataFrame([("c1", "d1", head + "three credits", 1), ("c2", "d1", head + "same", 2)], "chunk_id string, doc_id string, content string, page int").write.parquet(str(tmp_path / "evidence_records.parquet"))
+    spark.createDataFrame([("q", "c1", "d1", 1, head + "four credits"), ("q", "c2", "d1", 2, head + "same")], "query_id string, chunk_id string, doc_id string, page int, content string").write.parquet(str(tmp_path / "retrieval_results.parquet"))
+    assert [r["chunk_id"] for r in Q.proofs(spark, str(tmp_path)).collect()] == ["c2"]
+    assert {r["chunk_id"]: r["errors"] for r in Q.citations(spark, str(tmp_path)).collect()} == {"c1": "quote_not_found", "c2": ""}
