@@ -4,7 +4,9 @@ A term model learned from labelled documents tells the subject of a sentence: th
 sentence is latent, restricted to its document's labels, and found by expectation
 maximisation. From the subjects of its sentences, its source and its structure a chain of
 logistic classifiers, one a subject, each seeing the decisions before it, gives calibrated
-probabilities of label combinations; beam search finds the most likely one.
+probabilities of label combinations; beam search finds the most likely one. Each classifier has
+its own weights, for every earlier subject too; those of one model fitted to all subjects
+together are the mean of their prior, towards which a subject with few documents is drawn.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from gneiss.runtime import ship, spread, table
 
 #: At most this many labelled documents, chosen by a hash of their ids, train the model.
 MAX_LABELLED = 5_000
+#: How firmly a subject's own weights are held to the common ones.
+OWN = 3.0
 _TAG = re.compile(r"<[^<>]{0,200}>")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,11 +49,13 @@ def terms(sentence: str) -> set[str]:
 
 @dataclass
 class TermModel:
-    """For each term its log odds of the subjects times its information, and that information."""
+    """For each term its log odds of the subjects times its information, and that information;
+    for each source how much it raises the log odds of the subjects."""
 
     vocabulary: dict[str, int]
     weight: np.ndarray
     info: np.ndarray
+    sources: dict[str, np.ndarray]
 
     def scores(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For the sentences that hold known terms, their places and the mean log odds over their
@@ -66,8 +72,26 @@ class TermModel:
         return which[ok], np.add.reduceat(self.weight[at].astype(np.float64), begin, axis=0)[ok] / total[ok, None]
 
 
-def fit_terms(docs: list[list[str]], labels: list[list[int]], k: int, background: int | None, rounds: int = 8, smooth: float = 0.3) -> TermModel:
+def source_odds(sources: list[str | None], labels: list[list[int]], k: int, smooth: float = 5.0) -> dict[str, np.ndarray]:
+    """Log odds of the subjects among a source's documents over those among all, drawn to 0 for
+    sources of few documents."""
+    has = np.zeros((len(labels), k))
+    for i, own in enumerate(labels):
+        has[i, own] = 1
+    base = (has.sum(0) + 0.5) / (len(labels) + 1)
+    of: dict[str, list[int]] = {}
+    for i, s in enumerate(sources):
+        of.setdefault(s or "", []).append(i)
+    odds = {}
+    for s, at in of.items():
+        n = has[at].sum(0)
+        odds[s] = np.log((n + smooth * base) / (len(at) - n + smooth * (1 - base))) - np.log(base / (1 - base))
+    return odds
+
+
+def fit_terms(docs: list[list[str]], labels: list[list[int]], sources: list[str | None], k: int, background: int | None, rounds: int = 8, smooth: float = 0.3) -> TermModel:
     """``background`` is a subject that any document may hold a sentence of."""
+    by_source = source_odds(sources, labels, k)
     bags, of = [], []
     for d, text in enumerate(docs):
         for s in text:
@@ -76,7 +100,7 @@ def fit_terms(docs: list[list[str]], labels: list[list[int]], k: int, background
     df = Counter(t for b in bags for t in b)
     voc = {t: i for i, t in enumerate(sorted(t for t, n in df.items() if n >= 2))}
     if not voc:
-        return TermModel({}, np.zeros((0, k), np.float32), np.zeros(0, np.float32))
+        return TermModel({}, np.zeros((0, k), np.float32), np.zeros(0, np.float32), by_source)
     kept = [[voc[t] for t in b if t in voc] for b in bags]
     lens = np.array([len(x) for x in kept])
     cols = np.array([i for x in kept for i in x], dtype=np.int32)
@@ -104,7 +128,7 @@ def fit_terms(docs: list[list[str]], labels: list[list[int]], k: int, background
         z = np.where(may, 6 * z, -1e9)
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-    return TermModel(voc, weight.astype(np.float32), info.astype(np.float32))
+    return TermModel(voc, weight.astype(np.float32), info.astype(np.float32), by_source)
 
 
 KINDS = ("", "course", "notice", "report", "rule")
@@ -122,32 +146,26 @@ def describe(text: str | None, source: str | None, kind: str | None, model: Term
     n = max(1, len(found))
     share = count / n
     top = max(share.max(), 1e-9)
-    own = np.stack([share, share >= 0.25, share >= 0.2, np.minimum(count, 6) / 6, count == 1, (count == 1) & (n > 1) & (n <= 8), share / top, (share == top) & (count > 0), strength / np.maximum(count, 1), np.abs(share - 0.5) < 0.26, share > 0.75], 1).astype(float)
-    doc = np.array([np.log1p(n), n == 1, n <= 4, n <= 8, float(bool(text) and len((text or "").split("\n")[0].split()) <= 4), hash_share(source), *(float((kind or "") == x) for x in KINDS)])
+    odds = model.sources.get(source or "", np.zeros(k))
+    own = np.stack([share, share >= 0.25, share >= 0.2, np.minimum(count, 6) / 6, count == 1, (count == 1) & (n > 1) & (n <= 8), share / top, (share == top) & (count > 0), strength / np.maximum(count, 1), np.abs(share - 0.5) < 0.26, share > 0.75, odds], 1).astype(float)
+    doc = np.array([np.log1p(n), n == 1, n <= 4, n <= 8, float(bool(text) and len((text or "").split("\n")[0].split()) <= 4), *(float((kind or "") == x) for x in KINDS)])
     return own, doc
 
 
-def hash_share(value: str | None) -> float:
-    """A fixed number in 0 to 1 for a categorical value."""
-    import zlib
-
-    return zlib.crc32((value or "").encode()) / 2**32
-
-
-def _row(own: np.ndarray, doc: np.ndarray, before: np.ndarray, j: int, k: int) -> np.ndarray:
-    """Input of the classifier of subject ``j``: its features, those of the document and the
-    decisions on the subjects before it."""
-    which = np.zeros(k)
-    which[j] = 1
+def _row(own: np.ndarray, doc: np.ndarray, before: np.ndarray, j: int) -> np.ndarray:
+    """Input of the classifier at place ``j``: its subject's features, those of the document and
+    the decisions on the subjects before it."""
     taken = before[:j].sum()
-    return np.concatenate([own, own * doc[1], own * doc[2], doc * 0.3, which * 0.5, which * own[0], [1.0, taken, taken >= 2, own[0] * (taken > 0), own[1] * (taken > 0)], 0.5 * before])
+    return np.concatenate([own, own * doc[1], own * doc[2], doc * 0.3, [1.0, taken, taken >= 2, own[0] * (taken > 0), own[1] * (taken > 0)], before])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25) -> np.ndarray:
-    w = np.zeros(x.shape[1])
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 25, prior: np.ndarray | None = None) -> np.ndarray:
+    """``prior`` is the mean of the weights' prior, 0 if not given."""
+    mean = np.zeros(x.shape[1]) if prior is None else prior
+    w = mean.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
+        g = x.T @ (p - y) + ridge * (w - mean)
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w -= step
@@ -161,31 +179,30 @@ class ChainModel:
     subjects: list[str]
     term_model: TermModel
     order: list[int]
-    weights: np.ndarray
+    weights: np.ndarray  # a row for each place of the chain
 
     def decode(self, own: np.ndarray, doc: np.ndarray, beam: int = 8) -> tuple[list[int], float]:
         """Most likely set of subjects and its probability, by beam search along the chain."""
-        k, w = len(self.subjects), self.weights
+        w = self.weights
         f, d = own.shape[1], len(doc)
         # what of each subject's input (see _row) does not depend on the decisions before it
         o = own[self.order]
         at = 3 * f + d
-        fixed = o @ (w[:f] + doc[1] * w[f : 2 * f] + doc[2] * w[2 * f : 3 * f]) + 0.3 * float(doc @ w[3 * f : at])
-        fixed = fixed + 0.5 * w[at : at + k] + o[:, 0] * w[at + k : at + 2 * k]
-        one, taken1, taken2, own0, own1 = w[at + 2 * k : at + 2 * k + 5].tolist()
-        before = (0.5 * w[at + 2 * k + 5 :]).tolist()
-        some = (o[:, 0] * own0 + o[:, 1] * own1).tolist()
-        beams: list[tuple[float, tuple[int, ...], float]] = [(0.0, (), 0.0)]
+        fixed = (o * (w[:, :f] + doc[1] * w[:, f : 2 * f] + doc[2] * w[:, 2 * f : 3 * f])).sum(1) + 0.3 * (w[:, 3 * f : at] @ doc) + w[:, at]
+        taken1, taken2 = w[:, at + 1].tolist(), w[:, at + 2].tolist()
+        some = (o[:, 0] * w[:, at + 3] + o[:, 1] * w[:, at + 4]).tolist()
+        before = w[:, at + 5 :].tolist()
+        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
         for j, base in enumerate(fixed.tolist()):
             grown = []
-            for lp, chosen, carried in beams:
+            for lp, chosen in beams:
                 n = len(chosen)
-                v = base + one + carried + taken1 * n + (taken2 if n >= 2 else 0.0) + (some[j] if n else 0.0)
+                v = base + taken1[j] * n + (taken2[j] if n >= 2 else 0.0) + (some[j] if n else 0.0) + sum(before[j][i] for i in chosen)
                 v = max(-30.0, min(30.0, v))
-                grown.append((lp - math.log1p(math.exp(-v)), (*chosen, j), carried + before[j]))
-                grown.append((lp - math.log1p(math.exp(v)), chosen, carried))
+                grown.append((lp - math.log1p(math.exp(-v)), (*chosen, j)))
+                grown.append((lp - math.log1p(math.exp(v)), chosen))
             beams = sorted(grown, key=lambda x: -x[0])[:beam]
-        lp, best, _ = beams[0]
+        lp, best = beams[0]
         return [self.order[j] for j in best], math.exp(lp)
 
 
@@ -203,22 +220,26 @@ def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: l
     own, doc = {}, {}
     for part in (0, 1):
         fit = [i for i in use if i % 2 != part]
-        m = fit_terms([texts[i] for i in fit], [rows[i][3] for i in fit], k, background)
+        m = fit_terms([texts[i] for i in fit], [rows[i][3] for i in fit], [rows[i][1] for i in fit], k, background)
         for i in use:
             if i % 2 == part:
                 own[i], doc[i] = describe(rows[i][0], rows[i][1], rows[i][2], m, k)
     good = [i for i in use if all(own[i][l, 0] > 0 for l in rows[i][3])] if len(use) >= 400 else use
-    term_model = fit_terms([texts[i] for i in good], [rows[i][3] for i in good], k, background)
+    term_model = fit_terms([texts[i] for i in good], [rows[i][3] for i in good], [rows[i][1] for i in good], k, background)
     count = Counter(l for i in good for l in rows[i][3])
     order = sorted(range(k), key=lambda s: (-count[s], subjects[s]))
-    x, y = [], []
+    x: list[list[np.ndarray]] = [[] for _ in order]
+    y: list[list[float]] = [[] for _ in order]
     for i in good:
         before = np.zeros(k)
         for j, s in enumerate(order):
-            x.append(_row(own[i][s], doc[i], before, j, k))
-            y.append(float(s in rows[i][3]))
-            before[j] = y[-1]
-    weights = fit_logistic(np.array(x), np.array(y)) if x else np.zeros(len(_row(np.zeros(11), np.zeros(6 + len(KINDS)), np.zeros(k), 0, k)))
+            x[j].append(_row(own[i][s], doc[i], before, j))
+            y[j].append(float(s in rows[i][3]))
+            before[j] = y[j][-1]
+    if not good:
+        return ChainModel(subjects, term_model, order, np.zeros((k, len(_row(np.zeros(12), np.zeros(5 + len(KINDS)), np.zeros(k), 0)))))
+    mean = fit_logistic(np.array(sum(x, [])), np.array(sum(y, [])))
+    weights = np.stack([fit_logistic(np.array(a), np.array(b), OWN, prior=mean) for a, b in zip(x, y)])
     return ChainModel(subjects, term_model, order, weights)
 
 

@@ -263,6 +263,28 @@ def test_subjects_on_held_out_documents(spark):
     assert [(x["doc_id"], x["subject"]) for x in subjects.subjects_of(d, model).collect()] == [(1, "law")]
 
 
+def held_out(rows, names):
+    model = subjects.train([r for i, r in enumerate(rows) if i % 4], names)
+    ok = 0
+    for text, s, k, kinds in rows[::4]:
+        own, d = subjects.describe(text, s, k, model.term_model, len(names))
+        ok += {model.subjects[i] for i in model.decode(own, d)[0]} == set(kinds)
+    return ok / len(rows[::4])
+
+
+def test_each_subject_learns_its_own_partners_and_sources():
+    r = random.Random(5)
+    words = {"law": ["court ruling", "contract clause", "tort claim"], "med": ["blood sample", "heart surgery", "fever chart"], "both": ["open letter", "public debate", "long essay"]}
+    say = lambda k: " ".join(f"The {r.choice(words[k])} follows the {r.choice(words[k])} in week {r.randint(1, 9)}." for _ in range(3))
+    partner = {"law": "alpha", "med": "beta"}  # their sentences have the same words
+    rows = [(f"{say(k)} {say('both')}", "s", None, [k, partner[k]]) for k in (r.choice(["law", "med"]) for _ in range(240))]
+    rows += [(say(k), "s", None, [k]) for k in (r.choice(["law", "med"]) for _ in range(120))]
+    r.shuffle(rows)
+    assert held_out(rows, ["alpha", "beta", "law", "med"]) >= 0.9
+    rows = [(say("both"), s, None, [k]) for s, k in (r.choice([("one", "alpha"), ("two", "beta"), ("three", "alpha"), ("four", "beta")]) for _ in range(240))]
+    assert held_out(rows, ["alpha", "beta"]) >= 0.9
+
+
 def test_training_on_nothing(spark):
     model = subjects.train([], ["a", "b"])
     d = spark.createDataFrame([(1, "some text here.", "s", None)], "doc_id long, text string, source string, doc_kind string")
