@@ -207,8 +207,9 @@ class ChainModel:
 
 
 def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: list[str]) -> ChainModel:
-    """Fit on ``(text, source, kind, labels)``. Labels that the text does not bear out at all
-    are taken for wrong after a first fit and left out of the second."""
+    """Fit on ``(text, source, kind, labels)``, all labels alike for any number of documents. One
+    that no sentence bears out is not told from a rare subject's and stays: in the term model
+    the labels of a sentence are latent, in the chain they are cases of a share of 0."""
     k, at = len(subjects), {s: i for i, s in enumerate(subjects)}
     rows = [(t, s, d, sorted({at[x] for x in l if x in at})) for t, s, d, l in rows]
     rows = [r for r in rows if r[3] and r[0]]
@@ -224,19 +225,18 @@ def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: l
         for i in use:
             if i % 2 == part:
                 own[i], doc[i] = describe(rows[i][0], rows[i][1], rows[i][2], m, k)
-    good = [i for i in use if all(own[i][l, 0] > 0 for l in rows[i][3])] if len(use) >= 400 else use
-    term_model = fit_terms([texts[i] for i in good], [rows[i][3] for i in good], [rows[i][1] for i in good], k, background)
-    count = Counter(l for i in good for l in rows[i][3])
+    term_model = fit_terms([texts[i] for i in use], [rows[i][3] for i in use], [rows[i][1] for i in use], k, background)
+    count = Counter(l for i in use for l in rows[i][3])
     order = sorted(range(k), key=lambda s: (-count[s], subjects[s]))
     x: list[list[np.ndarray]] = [[] for _ in order]
     y: list[list[float]] = [[] for _ in order]
-    for i in good:
+    for i in use:
         before = np.zeros(k)
         for j, s in enumerate(order):
             x[j].append(_row(own[i][s], doc[i], before, j))
             y[j].append(float(s in rows[i][3]))
             before[j] = y[j][-1]
-    if not good:
+    if not use:
         return ChainModel(subjects, term_model, order, np.zeros((k, len(_row(np.zeros(12), np.zeros(5 + len(KINDS)), np.zeros(k), 0)))))
     mean = fit_logistic(np.array(sum(x, [])), np.array(sum(y, [])))
     weights = np.stack([fit_logistic(np.array(a), np.array(b), OWN, prior=mean) for a, b in zip(x, y)])

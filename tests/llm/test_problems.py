@@ -285,6 +285,17 @@ def test_each_subject_learns_its_own_partners_and_sources():
     assert held_out(rows, ["alpha", "beta"]) >= 0.9
 
 
+@pytest.mark.parametrize("n", [300, 500])
+def test_rare_labels_train_at_every_size(n):
+    rows = [(f"The court ruling follows the appeal in week {i}. The judge hears the claim again.", "s", None, ["law"]) for i in range(n)]
+    for i in (2, 4):  # the other half has no such document
+        rows[i] = (f"{rows[i][0]} The zymurgy seminar ferments barley daily.", "s", None, ["law", "brewing"])
+    model = subjects.train(rows, ["brewing", "law"])
+    assert "zymurgy" in model.term_model.vocabulary
+    _, z = model.term_model.scores(["The zymurgy seminar ferments barley daily."])
+    assert z.argmax(1).tolist() == [0]
+
+
 def test_training_on_nothing(spark):
     model = subjects.train([], ["a", "b"])
     d = spark.createDataFrame([(1, "some text here.", "s", None)], "doc_id long, text string, source string, doc_kind string")
