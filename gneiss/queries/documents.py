@@ -58,7 +58,7 @@ def batches(spark, d):
 
 def _claims(spark, d):
     a = table(spark, d, "saved_answers").where("request_id is not null").select("request_id", F.posexplode_outer("response.answer.claims").alias("i", "c")).where("c.text is not null")
-    return a.groupBy(F.concat_ws("-", "request_id", "i").alias("claim_id"), F.col("request_id").alias("scope")).agg(F.min("c.text").alias("text"))
+    return a.groupBy(F.concat_ws("-", "request_id", "i").alias("claim_id"), F.col("request_id").alias("scope")).agg(F.min("c.text").alias("text"), F.min_by("c.citation_ids", "c.text").alias("citation_ids"))
 
 
 def _evidence(spark, d):

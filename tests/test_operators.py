@@ -297,3 +297,12 @@ def test_quotes_are_compared_whole(spark, tmp_path):
     spark.createDataFrame([("q", "c1", "d1", 1, head + "four credits"), ("q", "c2", "d1", 2, head + "same")], "query_id string, chunk_id string, doc_id string, page int, content string").write.parquet(str(tmp_path / "retrieval_results.parquet"))
     assert [r["chunk_id"] for r in Q.proofs(spark, str(tmp_path)).collect()] == ["c2"]
     assert {r["chunk_id"]: r["errors"] for r in Q.citations(spark, str(tmp_path)).collect()} == {"c1": "quote_not_found", "c2": ""}
+
+
+def test_claims_by_citation_cover_and_polarity(spark):
+    c = spark.createDataFrame([("cited", "s", "Library cards cost nothing", ["e2"]), ("gap", "s", "Library cards cost nothing", ["e1", "lost"]), ("free", "s", "Library cards cost nothing", None), ("label", "s", "Library cards cost nothing", ["L1"]), ("split", "s", "alpha beta gamma delta epsilon zeta eta theta", None), ("denied", "s", "A deposit is not required", None)], "claim_id string, scope string, text string, citation_ids array<string>")
+    e = spark.createDataFrame([("s", "e1", "Library cards cost nothing."), ("s", "e2", "Parking is closed."), ("s", "e3", "alpha beta gamma delta"), ("s", "e4", "epsilon zeta eta theta"), ("s", "e5", "A deposit is required.")], "scope string, item_id string, content string")
+    got = {r["claim_id"]: (r["status"], r["evidence"]) for r in V.align(c, e).collect()}
+    assert got["free"] == got["label"] == ("supported", "e1")
+    assert got["cited"][0] == "unsupported" and got["gap"] == ("unsupported", None)
+    assert got["split"] == ("supported", "e3") and got["denied"][0] == "contradicted"
