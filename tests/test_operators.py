@@ -306,3 +306,15 @@ def test_claims_by_citation_cover_and_polarity(spark):
     assert got["free"] == got["label"] == ("supported", "e1")
     assert got["cited"][0] == "unsupported" and got["gap"] == ("unsupported", None)
     assert got["split"] == ("supported", "e3") and got["denied"][0] == "contradicted"
+
+
+def test_latest_row_and_asked_page(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    put = lambda rows, kind, name: spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / f"{name}.parquet"))
+    put([("x", dt.datetime(2024, 1, 1), 1, "failed"), ("x", dt.datetime(2024, 1, 2), 1, "done"), ("y", dt.datetime(2024, 1, 1), 2, "a"), ("y", dt.datetime(2024, 1, 1), 1, "b")], "digest string, recorded_at timestamp, turn int, status string", "attempts")
+    assert {r["digest"]: r["status"] for r in entry.queries()["WIN-12-latest"](spark, str(tmp_path)).collect()} == {"x": "done", "y": "a"}
+    put([("q1", ("What is on Trang 7?",)), ("q2", ("See page 9",)), ("q3", ("No place",)), ("q4", ("page 07 or page 5",))], "request_id string, request struct<question string>", "traces")
+    put([(q, f"{q}{n}", n) for q in ("q1", "q2", "q3", "q4") for n in (5, 7, 8)], "query_id string, chunk_id string, page int", "retrieval_results")
+    got = {r["chunk_id"] for r in entry.queries()["FLT-03-asked"](spark, str(tmp_path)).collect()}
+    assert got == {"q17", "q25", "q27", "q28", "q35", "q37", "q38", "q45", "q47"}
