@@ -1,21 +1,24 @@
 """Broken prompt and response pairs (problem 3).
 
-A suffix automaton of the prompt measures how much of the response is copied from it; an
-Aho-Corasick automaton of refusal cues with rules over their classes finds refusals; a stack
-of delimiters and end-of-sentence statistics of all answers find truncation; votes of function
-words find the wrong language.
+A suffix automaton of the prompt measures how much of the response is copied from it; automata
+of the parts of speech of declining, with rules over them, find refusals; a stack of delimiters
+and end-of-sentence statistics of all answers find truncation; votes of function words find the
+wrong language.
 """
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gneiss.llm.refusals import refuses
 from gneiss.llm.text import folded, language, plain
 from gneiss.runtime import cut, ship, table
 
@@ -72,54 +75,6 @@ class SuffixAutomaton:
 # Answers that stand for no answer, in folded form without punctuation.
 PLACEHOLDERS = {"null", "none", "n a", "na", "nil", "nan", "undefined", "empty", "answer", "no answer", "tbd", "todo", "unknown", "rien", "neant", "vide", "trong", "khong co", "l"}
 
-# Cues of refusals in folded form. ALONE is a refusal by itself; the others
-# only together, see _REFUSALS.
-CUES = {
-    "ALONE": [
-        "rather not say", "no answer to give", "keep me from", "another topic instead", "change the subject", "outside my remit", "beyond my remit", "outside my scope", "beyond my scope", "question stays open", "question remains open", "against my guidelines", "not something i may", "not something i can", "have to decline", "must decline", "i decline", "i refuse", "i am not allowed", "i m not allowed", "i am not permitted", "as an ai",
-        "no answer can be given", "cannot be answered", "can not be answered", "i do not know", "i don t know",
-        "decliner cette", "dois decliner", "prefere ne rien dire", "autre sujet", "de mes attributions", "m est impossible", "hors de mon", "hors de ma", "pas autorise a", "reponse ne peut etre", "permettent pas de repondre", "question est a poser", "je ne sais pas", "refuse de repondre", "restent muettes", "reste muette", "restent muets",
-        "xin phep tu choi", "toi tu choi", "tu choi yeu cau", "tu choi tra loi", "chu de khac", "ngoai pham vi ho tro", "pham vi cua toi", "khong co tham quyen", "khong duoc phep ban", "chua du can cu", "khong du can cu", "chua co co so", "khong co co so", "chua the ket luan", "khong the ket luan", "toi khong biet",
-    ],
-    "SELF": ["i", "me", "my", "we", "our", "this assistant", "je", "j", "nous", "notre", "toi", "chung toi", "minh"],
-    "NOT": ["cannot", "can not", "can t", "unable", "won t be able", "not able", "will not be able", "could not", "couldn t", "may not", "ne peux", "ne pouvons", "ne puis", "incapable", "ne suis pas en mesure", "khong the", "chua the", "khong duoc phep", "khong du kha nang"],
-    "ACT": ["answer", "help", "assist", "comment", "commenting", "discuss", "respond", "reply", "say", "conclude", "advise", "tell you", "provide", "repondre", "aider", "commenter", "discuter", "prononcer", "dire", "conclure", "tra loi", "giup", "ho tro", "nhan xet", "ban ve", "binh luan", "ket luan", "giai dap", "cung cap"],
-    "SOURCE": ["source", "sources", "document", "documents", "evidence", "the texts", "material", "les textes", "tai lieu", "nguon", "cac nguon"],
-    "SILENT": ["silent", "do not contain", "does not contain", "don t contain", "do not say", "does not say", "not enough", "insufficient", "there is nothing", "no mention", "do not mention", "does not mention", "ne contiennent pas", "ne contient pas", "ne disent", "ne mentionnent", "insuffisant", "insuffisants", "insuffisantes", "khong nhac den", "khong de cap", "khong co thong tin", "chua du", "khong du"],
-    "DEFER": ["xin de khoa", "xin de nganh", "xin hoi khoa", "is a matter for", "is a question for", "should be put to", "est a poser a", "releve du programme"],
-    "SOLVE": ["giai dap", "tra loi", "question", "answer"],
-}
-_REFUSALS = [{"ALONE"}, {"SELF", "NOT", "ACT"}, {"SOURCE", "SILENT"}, {"DEFER", "SOLVE"}, {"SOURCE", "NOT", "ACT"}]
-
-
-@lru_cache(maxsize=1)
-def _automaton():
-    import ahocorasick
-
-    a = ahocorasick.Automaton()
-    at: dict[str, set[str]] = {}
-    for kind, cues in CUES.items():
-        for c in cues:
-            at.setdefault(f" {c} ", set()).add(kind)
-    for cue, kinds in at.items():
-        a.add_word(cue, frozenset(kinds))
-    a.make_automaton()
-    return a
-
-
-def refuses(answer: str) -> bool:
-    """Whether a sentence of the answer declines or says that no answer can be given."""
-    for sentence in re.split(r"(?<=[.!?])\s+|\n+", folded(answer)):
-        # a blank on both sides of every word, twice between words, so that cues may adjoin
-        flat = " " + re.sub(r"[\W_]+", " ", sentence).strip() + " "
-        kinds: set[str] = set()
-        for _, k in _automaton().iter(flat):
-            kinds |= k
-        if any(rule <= kinds for rule in _REFUSALS):
-            return True
-    return False
-
-
 _MARKUP = re.compile(r"<[^<>]{0,200}>|\[\s*[A-Z]?\d+\s*\]")
 
 
@@ -134,27 +89,39 @@ _LEAD = re.compile(r"^[^:\n]{1,40}:\s*")
 
 def copies(question: str, answer: str) -> bool:
     """Whether the answer, apart from a short lead-in, consists of parts of the question and
-    gives back nearly all of it."""
+    gives back nearly all of it. Questions of any length count, those without a letter or digit
+    have nothing to copy."""
     # an instruction before a colon ("please answer in ...") is not part of what is asked
     forms = {question, _LEAD.sub("", question)}
+    texts = {answer, _LEAD.sub("", answer, count=1)}
+    given = [" " + re.sub(r"[\W_]+", " ", folded(_MARKUP.sub(" ", t))).strip() + " " for t in texts]
     for q in forms:
         q = re.sub(r"[\W_]+", " ", folded(q)).strip()
-        if len(q) < 8:
+        if not q:
             continue
-        sam = SuffixAutomaton(" " + q + " ")
-        for text in (answer, _LEAD.sub("", answer, count=1)):
-            a = " " + re.sub(r"[\W_]+", " ", folded(_MARKUP.sub(" ", text))).strip() + " "
-            if len(a) < 0.7 * len(q):
+        padded = f" {q} "
+        least = min(10, len(q))
+        sam = None
+        for a in given:
+            if not a.strip() or not _may_copy(a, padded, least):
                 continue
-            hit = sam.covered(a, min(10, len(q)))
-            words = [m.span() for m in re.finditer(r"\S+", a)]
-            if words and all(all(hit[b:e]) for b, e in words):
-                back = SuffixAutomaton(a).covered(q, min(10, len(a)))
+            sam = sam or SuffixAutomaton(padded)
+            hit = sam.covered(a, least)
+            if all(all(hit[m.start() : m.end()]) for m in re.finditer(r"\S+", a)):
+                back = SuffixAutomaton(a).covered(q, min(10, len(a.strip()), len(q)))
                 if sum(back) >= 0.8 * len(q):
                     return True
     return False
 
 
+def _may_copy(a: str, q: str, least: int) -> bool:
+    """What any full cover of ``a``, a text between two blanks, by runs of ``q`` of at least
+    ``least`` characters must have: a run over its first letter and one over its last. The
+    automaton of ``q`` is made for these alone."""
+    n = len(a)
+    return (a[:least] in q or a[1 : 1 + least] in q) and (a[n - least :] in q or a[max(0, n - 1 - least) : n - 1] in q)
+
+
 _OPEN, _CLOSE = "([{“«„", ")]}”»“"
 _DANGLING = re.compile(r"(^|\n)\s*(\d+[.)]|[-*•–])\s*$")
 _ITEM = re.compile(r"^\s*(\d+[.)]|[-*•–])\s+\S")
@@ -225,50 +192,85 @@ def inspected(question: pd.Series, answer: pd.Series) -> pd.Series:
 
 
 _GRAM = 7
+_CITED = re.compile(r"\[\s*[A-Z]?\d+\s*\]")
+_SIGNS = re.compile(r"[^\W_]*\d[^\W_]*(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]|_")
+_ENDS = {".", "!", "?"}
 
 
-def _tokens(text: Column) -> Column:
+def _tokens(text: str) -> list[str]:
     """Words, '#' for what holds a digit, and single signs; '<s>' first."""
-    masked = F.regexp_replace(F.lower(F.regexp_replace(text, r"\[\s*[A-Z]?\d+\s*\]", "")), r"[\p{L}]*\p{N}[\p{L}\p{N}]*(?:[.,]\p{N}+)*", "#")
-    return F.concat(F.array(F.lit("<s>")), F.regexp_extract_all(masked, F.lit(r"(#|[\p{L}\p{M}]+|[^\s\p{L}\p{M}])"), F.lit(1)))
-
-
-def _ended(token: Column) -> Column:
-    return token.isin(".", "!", "?")
+    return ["<s>", *("#" if any(ch.isdigit() for ch in w) else w for w in _SIGNS.findall(_CITED.sub("", unicodedata.normalize("NFC", text)).lower()))]
+
+
+def _run_hashes(token: np.ndarray, room: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the runs of one, two, ... tokens that end at each place; those longer than
+    ``room``, the place's number within its text from 1, are no runs."""
+    mix = np.uint64(0x9E3779B97F4A7C15)
+    out, h = [], np.zeros(len(token), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, _GRAM + 1):
+            before = np.roll(token, n - 1)
+            h = (h ^ before) * mix
+            h ^= h >> np.uint64(29)
+            out.append(np.where(room >= n, h, np.uint64(0)))
+    return out
+
+
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+    """Token hashes of all texts in a row, each place's number in its text, and the text it is of."""
+    lists = [_tokens(t) for t in texts]
+    size = np.array([len(x) for x in lists], dtype=np.int64)
+    flat = np.array([w for x in lists for w in x], dtype=object)
+    code, words = pd.factorize(flat)
+    token = pd.util.hash_array(np.asarray(words, dtype=object), categorize=False)[code]
+    of = np.repeat(np.arange(len(lists)), size)
+    return token, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + 1, of, lists
+
+
+def _count_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        texts = [t for t in pdf["answer"] if t]
+        if not texts:
+            continue
+        token, place, of, lists = _coded(texts)
+        flat = [w for x in lists for w in x]
+        last = np.append(of[1:] != of[:-1], True)
+        # 0: a full stop follows, 1: something else follows, 2: the text stops
+        ended = np.fromiter((w in _ENDS for w in flat), dtype=bool, count=len(flat))
+        kind = np.where(last, 2, np.where(np.append(ended[1:], False), 0, 1))
+        word = np.fromiter((w != "<s>" and (w == "#" or w[0].isalpha()) for w in flat), dtype=bool, count=len(flat))
+        runs = [(h[word & (place >= n)], kind[word & (place >= n)]) for n, h in enumerate(_run_hashes(token, place), 1)]
+        gram, kinds = np.concatenate([g for g, _ in runs]), np.concatenate([k for _, k in runs])
+        seen, at = np.unique(gram, return_inverse=True)
+        yield pd.DataFrame({"gram": seen.view(np.int64), **{name: np.bincount(at, weights=kinds == k, minlength=len(seen)).astype(np.int64) for k, name in enumerate(("ends", "goes_on", "stops"))}})
 
 
 def sentence_ends(texts: DataFrame) -> DataFrame:
-    """``(gram, ends, goes_on, stops)`` for every run of one to seven words of ``(text)``: how often
-    a full stop follows, something else follows, or the text stops."""
-    t = texts.select(_tokens(F.col("text")).alias("t"))
+    """``(gram, ends, goes_on, stops)`` for every run of one to seven words of ``(answer)``: how often
+    a full stop follows, something else follows, or the text stops. Runs are counted in each
+    batch before they are shuffled."""
+    grams = texts.select("answer").mapInPandas(_count_runs, "gram long, ends long, goes_on long, stops long")
+    return grams.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("ends", "goes_on", "stops")])
 
-    def runs_to(i: Column) -> Column:
-        nxt = F.try_element_at("t", i + 1)
-        kind = F.when(nxt.isNull(), 2).when(_ended(nxt), 0).otherwise(1)
-        return F.transform(F.sequence(F.lit(1), F.least(F.lit(_GRAM), i)), lambda n: F.struct(F.xxhash64(F.concat_ws(" ", F.slice("t", i - n + 1, n))).alias("gram"), kind.alias("kind")))
 
-    # one array a text, so that the text's words are not copied to each of its runs; the outer
-    # form spares a filter that would build the array a second time
-    places = F.filter(F.sequence(F.lit(2), F.greatest(F.size("t"), F.lit(2))), lambda i: F.coalesce(F.try_element_at("t", i).rlike(r"[\p{L}#]"), F.lit(False)))
-    grams = t.select(F.explode_outer(F.flatten(F.transform(places, runs_to))).alias("g")).where("g is not null").select("g.gram", "g.kind")
-    one = lambda k: F.sum((F.col("kind") == k).cast("int"))
-    return grams.groupBy("gram").agg(one(0).alias("ends"), one(1).alias("goes_on"), one(2).alias("stops"))
+def _tail_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        pdf = pdf[pdf["answer"].notna()]
+        if not len(pdf):
+            continue
+        token, place, of, _ = _coded(list(pdf["answer"]))
+        last = np.append(of[1:] != of[:-1], True)
+        ids, room = pdf["request_id"].to_numpy()[of[last]], place[last]
+        for n, h in enumerate(_run_hashes(token, place), 1):
+            some = room >= n
+            yield pd.DataFrame({"request_id": ids[some], "n": n, "whole": room[some] == n, "gram": h[last][some].view(np.int64)})
 
 
 def unfinished(open_answers: DataFrame, ends: DataFrame) -> DataFrame:
     """Those ``(request_id)`` of ``(request_id, answer)`` whose last words, by their longest run
     that the corpus knows, are followed by a full stop in fewer than half of the cases. A whole
-    answer of up to three words that stops at the same place elsewhere too counts as finished."""
-    t = _tokens(F.col("answer"))
-    tails = open_answers.select("request_id", t.alias("t")).select(
-        "request_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(_GRAM), F.size("t"))),
-                lambda n: F.struct(n.alias("n"), (n == F.size("t")).alias("whole"), F.xxhash64(F.concat_ws(" ", F.slice("t", F.size("t") - n + 1, n))).alias("gram")),
-            )
-        ).alias("g"),
-    ).select("request_id", "g.*")
+    answer of up to seven words that stops at the same place elsewhere too counts as finished."""
+    tails = open_answers.select("request_id", "answer").mapInPandas(_tail_runs, "request_id string, n int, whole boolean, gram long")
     seen = tails.join(ends, "gram", "left")
     known = F.when((F.col("ends") + F.col("goes_on") > 0) | (F.col("whole") & (F.col("stops") > 1)), F.col("n"))
     finished = F.when(F.col("whole") & (F.col("stops") > 1), F.col("stops") + F.col("ends") >= F.col("goes_on")).otherwise(F.col("ends") >= F.col("goes_on"))
@@ -290,7 +292,7 @@ def defects(found: DataFrame) -> DataFrame:
     question may be NULL. Statistics come from all answers."""
     ship(found.sparkSession)
     seen = cut(found.select("request_id", "answer", inspected("question", "answer").alias("defect")))
-    ends = sentence_ends(seen.where(F.col("answer").isNotNull()).select(F.col("answer").alias("text")))
+    ends = sentence_ends(seen.where(F.col("answer").isNotNull()))
     cut_short = unfinished(seen.where("defect = 'open?'"), ends).select("request_id", F.lit("truncated").alias("defect"))
     return seen.where("defect is not null and defect != 'open?'").select("request_id", "defect").unionByName(cut_short)
 

@@ -81,10 +81,11 @@ def folded(text: str) -> str:
 STOPWORDS = {
     "en": set("the a an of to in on at by for from with and or not is are was were be been it its this that these those which who whom what when where how why does do did can could may might must shall should will would has have had than then as if unless until before after between each every no there their they them he she his her you your i we our but so such more most only also other one two both all any into over under per about against during without within while because".split()),
     "fr": set("a t le la les un une des du de d l au aux et ou ne pas est sont était être été à en dans sur sous par pour avec sans ce cet cette ces qui que quoi quel quelle quels quelles quand où comment pourquoi combien il elle ils elles on nous vous je se son sa ses leur leurs plus moins même si avant après entre chaque tout tous toute toutes comme mais donc ainsi faut peut doit vaut selon lors puis dont y été".split()),
-    "vi": set("của và là có không được cho trong các những một này đó với để từ khi nào nếu thì mà bị bởi vì trên dưới tại theo đến ra vào phải sẽ đã đang cũng như về hay hoặc ai gì sao bao nhiêu thế mỗi nhiều ít hơn nhất rất còn lại sau trước giữa bằng học phần sinh viên tín chỉ khóa ngành quy định điểm".split()),
+    "vi": set("của và là có không được cho trong các những một này đó với để từ khi nào nếu thì mà bị bởi vì trên dưới tại theo đến ra vào phải sẽ đã đang cũng như về hay hoặc ai gì sao bao nhiêu thế mỗi nhiều ít hơn nhất rất còn lại sau trước giữa bằng việc muốn nên hãy đây đấy rồi chưa mọi cùng nếu lúc thường đều chỉ xong thêm làm cách".split()),
 }
-#: Vietnamese function words as written without accents; weighed only where no accent occurs.
-VI_BARE = set("hoc phan sinh vien khong duoc nao bao nhieu phai nhu the khoa thay bang quy dinh xu ly nop tre ra sao ai viec mien han dang ky khi het muon thi hoan thanh truoc tien tin chi danh gia day lai bat buoc nganh co gi la cua va cac nhung".split())
+#: Vietnamese function words as written without accents, weighed only where no accent occurs, but
+#: for those that are function words of another language too.
+VI_BARE = {"".join(ch for ch in unicodedata.normalize("NFD", w.replace("đ", "d")) if not unicodedata.combining(ch)) for w in STOPWORDS["vi"]} - STOPWORDS["en"] - STOPWORDS["fr"]
 _WORD = re.compile(r"[^\W\d_]+")
 _VI_MARK = re.compile("[ăđơưạảấầẩẫậắằẳẵặẹẻẽếềểễệỉịọỏốồổỗộớờởỡợụủứừửữựỳỵỷỹ]")
 

@@ -61,6 +61,38 @@ def test_empty_answers(answer):
     assert inspect("How is AB assessed?", answer) == "empty"
 
 
+@pytest.mark.parametrize("question", ["Why?", "Fee 9?", "Quand ?", "Ai?", "x"])
+def test_short_questions_are_copied_too(question):
+    assert inspect(question, question) == inspect(question, f"You asked: {question}") == inspect(question, f"{question} {question}") == "copies_question"
+    assert inspect(question, "The fee is 12.") != "copies_question"
+
+
+def test_copies_of_repetitive_questions():
+    # an answer much shorter than the question that still gives all of it back
+    assert inspect("go on and on and on and on and on", "on and on and on and on and go on and on") == "copies_question"
+    assert not pairs.copies("?!", "?!") and not pairs.copies("", "")
+
+
+def test_lossless_screen_of_copies():
+    rnd = random.Random(5)
+    words = ["ab", "abc", "b", "ca", "cab"]
+    for _ in range(400):
+        q, a = (" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(2))
+        least = min(10, len(q))
+        hit = pairs.SuffixAutomaton(f" {q} ").covered(f" {a} ", least)
+        if all(h for h, ch in zip(hit, f" {a} ") if ch != " "):
+            assert pairs._may_copy(f" {a} ", f" {q} ", least)
+
+
+def test_refusal_grammar():
+    from refusal_phrases import ANSWERS, FIFTH, FOURTH, REFUSALS, SECOND, THIRD, UNSEEN
+
+    assert all(pairs.refuses(a) for some in REFUSALS.values() for a in some) and all(pairs.refuses(a) for a in SECOND + THIRD + FOURTH + FIFTH)
+    assert not any(pairs.refuses(a) for some in ANSWERS.values() for a in some)
+    assert sum(pairs.refuses(a) for a in UNSEEN) >= 0.9 * len(UNSEEN)
+    assert not pairs.refuses("") and not pairs.refuses("word " * 200_000)
+
+
 def test_copies_refusals_languages():
     q = "Which courses must be passed before KFFN6545?"
     assert inspect(q, q) == inspect(q, "You asked: " + q) == inspect(q, q + "\n" + q) == inspect(q, "WHICH COURSES MUST BE PASSED BEFORE KFFN6545") == "copies_question"
