@@ -51,6 +51,8 @@ def look(text: str) -> str:
     characters, kinds of blank or hyphen, composition of accents or blanks at line ends agree.
     Superscripts, fractions, letter case and missing accents stay different."""
     if text.isascii():
+        if "\n" not in text and "\r" not in text and "\t" not in text and "\f" not in text and "\v" not in text:
+            return text.strip(" ")
         out = text.replace("\t", " ")
     else:
         out = unicodedata.normalize("NFD", unicodedata.normalize("NFC", text.translate(_TABLE)))
@@ -94,22 +96,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text)
 
 
+#: For each function word the languages it belongs to.
+_SAYS = {w: [k for k, s in STOPWORDS.items() if w in s] for w in set().union(*STOPWORDS.values())}
+_FR_MARK = re.compile("[çèêëîïûœ]")
+
+
 def language_votes(text: str) -> dict[str, float]:
     """Votes of the words of ``text`` for each language: one for every function word, shared
     words split; accents that only one of the languages has add half a vote."""
     low = plain(text).casefold()
     votes = {"en": 0.0, "fr": 0.0, "vi": 0.0}
-    found = _WORD.findall(low)
-    for w in found:
-        of = [k for k, s in STOPWORDS.items() if w in s]
-        for k in of:
-            votes[k] += 1 / len(of)
-        if _VI_MARK.search(w):
-            votes["vi"] += 0.5
-        elif re.search("[çèêëîïûœ]", w):
-            votes["fr"] += 0.25
-    if low.isascii():
-        votes["vi"] += sum(w in VI_BARE for w in found)
+    bare = low.isascii()
+    for w in _WORD.findall(low):
+        of = _SAYS.get(w)
+        if of:
+            for k in of:
+                votes[k] += 1 / len(of)
+        if bare:
+            votes["vi"] += w in VI_BARE
+        elif not w.isascii():
+            if _VI_MARK.search(w):
+                votes["vi"] += 0.5
+            elif _FR_MARK.search(w):
+                votes["fr"] += 0.25
     return votes
 
 
