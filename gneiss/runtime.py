@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -15,27 +16,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate results: ``spark.checkpoint.dir`` of the session; a
-    temporary folder is made only where the setting is missing (local tests)."""
+    """Shared folder for intermediate results: ``spark.checkpoint.dir`` of the session. Where the
+    setting is missing a temporary folder is made on a local master; on a cluster, whose
+    executors don't share the driver's disk, that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
+        if not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gneiss-checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage. The files
-    are replicated storage, so the result survives the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+#: Tables written by ``cut`` and frames held by ``keep`` in each application, for ``release``.
+_cuts: dict[str, list[str]] = {}
+_kept: dict[str, list[DataFrame]] = {}
+
+
+def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` as a table into the shared checkpoint folder and read it from there, which
+    drops its lineage. The folder is replicated storage, so the result survives the loss of any
+    executor. ``instead_of`` is an earlier result of ``cut`` that nothing needs any more once
+    ``df`` is written, such as the round before in a loop; its table is removed."""
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "lz4_raw").parquet(at)  # read once or twice soon: speed counts
+    mine = _cuts.setdefault(spark.sparkContext.applicationId, [])
+    mine.append(at)
+    if instead_of is not None:
+        for old in [p for p in mine if p in {x.rsplit("/", 1)[0] for x in instead_of.inputFiles()}]:
+            _remove(spark, old)
+            mine.remove(old)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Give back what queries of this application hold: tables of ``cut`` are removed, frames of
+    ``keep`` unpersisted. Results that still read them must have been written before. Returns
+    the number of both."""
+    app = spark.sparkContext.applicationId
+    cuts, kept = _cuts.pop(app, []), _kept.pop(app, [])
+    for p in cuts:
+        _remove(spark, p)
+    for df in kept:
+        df.unpersist()
+    return len(cuts) + len(kept)
 
 
 def keep(df: DataFrame) -> DataFrame:
     """Cache ``df`` for reuse inside one query. Lineage stays, so a lost block is recomputed."""
+    _kept.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -81,12 +125,13 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the executors of a cluster (once an application)."""
+    """Make this package importable by the Python workers (once an application). Those of a local
+    master that was started elsewhere need it too."""
     import shutil
     from pathlib import Path
 
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='gneiss-ship-')}/gneiss", "zip", root.parent, root.name)

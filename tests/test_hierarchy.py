@@ -79,3 +79,40 @@ def test_conflicting_rows_have_a_defined_result(spark):
 @pytest.mark.parametrize("raw,code", [(" hjub-0001", "HJUB0001"), ("Abc 12", "ABC12"), ("--", None), (None, None)])
 def test_canonical_code(spark, raw, code):
     assert spark.createDataFrame([(raw,)], "c string").select(canonical_code(F.col("c"))).first()[0] == code
+
+
+def test_segments_of_a_cycle_stay_short_beside_a_long_chain(spark, monkeypatch):
+    """Nodes on and under a cycle are settled as soon as their way meets itself, so the chain's
+    rounds do not lengthen their segments."""
+    from gneiss.operators import hierarchy as H
+
+    longest = []
+
+    def spied(df, *rest):
+        out = cut(df, *rest)
+        longest.append(out.where("node like 'c%' or node like 'u%'").agg(F.max(F.size("seg"))).first()[0])
+        return out
+
+    cut = H.cut
+    monkeypatch.setattr(H, "cut", spied)
+    chain = [("t", f"n{i}", f"n{i - 1}" if i else None) for i in range(300)]
+    cycle = [("t", "c0", "c2"), ("t", "c1", "c0"), ("t", "c2", "c1"), ("t", "u0", "c1"), ("t", "u1", "u0"), ("t", "self", "self")]
+    got = {r["node"]: r for r in H.hierarchy(spark.createDataFrame(chain + cycle, "tree string, node string, parent string")).collect()}
+    assert all(got[n]["cyclic"] and got[n]["path"] is None and got[n]["depth"] == -1 for n in ("c0", "c1", "c2", "u0", "u1", "self"))
+    assert got["n299"]["depth"] == 299 and got["n299"]["path"][:2] == ["n0", "n1"] and not got["n299"]["cyclic"]
+    assert max(x or 0 for x in longest) <= 8
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from gneiss import runtime
+
+    runtime.release(spark)
+    first = runtime.cut(spark.range(10))
+    at = first.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    second = runtime.cut(first.where("id > 3"), instead_of=first)
+    assert not os.path.exists(at) and second.count() == 6
+    kept = runtime.keep(spark.range(5))
+    kept.count()
+    assert runtime.release(spark) == 2 and not kept.storageLevel.useMemory
