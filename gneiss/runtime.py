@@ -52,7 +52,8 @@ def cut(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     mine = _cuts.setdefault(spark.sparkContext.applicationId, [])
     mine.append(at)
     if instead_of is not None:
-        for old in [p for p in mine if p in {x.rsplit("/", 1)[0] for x in instead_of.inputFiles()}]:
+        gone = {x.rsplit("/", 2)[1] for x in instead_of.inputFiles()}
+        for old in [p for p in mine if p.rsplit("/", 1)[1] in gone]:
             _remove(spark, old)
             mine.remove(old)
     return spark.read.schema(df.schema).parquet(at)
