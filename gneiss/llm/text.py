@@ -10,6 +10,12 @@ from functools import lru_cache
 LOOKALIKES = "АВЕЅІЈКМНОРСТУХԌԚԜаеорсухіјѕһԁԛԝᴠΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳՕօԱ"
 LATIN_FOR = "ABESIJKMHOPCTYXGQWaeopcyxijshdqwvABEZHIKMNOPTYXocjOoU"
 assert len(LOOKALIKES) == len(LATIN_FOR)
+#: The same look-alikes by script: the letters of a script that look Latin, and those Latin letters.
+SCRIPT_PAIRS = {
+    script: ("".join(a for a, _ in some), "".join(b for _, b in some))
+    for script in ("CYRILLIC", "GREEK")
+    for some in [list({b: (a, b) for a, b in reversed(list(zip(LOOKALIKES, LATIN_FOR))) if unicodedata.name(a).startswith(script)}.values())]
+}
 
 # Hyphens that look like U+002D, and invisible characters outside category Cf.
 _HYPHENS = "‐‑﹣－"

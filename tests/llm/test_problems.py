@@ -129,9 +129,30 @@ def test_look_keeps_what_looks_different():
 
 def test_pairs_of_one_look(spark):
     rows = [("a", "When does XHAB1234 close?"), ("b", "When does ХНАВ1234 close?"), ("c", "When​ does XHAB1234 close? "), ("d", "When does XHAB1234 close?"), ("e", "when does XHAB1234 close?"), ("f", "Where is α?"), ("g", "Where is a?"), ("h", None), (None, "x"), ("a", "When does XHAB1234 close?")]
-    got = {(r["key_a"], r["key_b"]) for r in lookalikes.look_alike_pairs(spark.createDataFrame(rows, "key string, text string")).collect()}
-    assert got == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d")}
-    assert lookalikes.look_alike_pairs(spark.createDataFrame([], "key string, text string")).count() == 0
+    assert pairs_of(spark, rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("b", "d"), ("c", "d")}
+    assert pairs_of(spark, []) == set()
+
+
+def pairs_of(spark, rows):
+    d = spark.createDataFrame([("t", *r) for r in rows], "source string, key string, text string")
+    return {(r["key_a"], r["key_b"]) for r in lookalikes.look_alike_pairs(d, "source").collect()}
+
+
+def test_pairs_of_other_scripts(spark):
+    """Towards the script that dominates a token, whatever it is."""
+    there = "Где находится библиотека"
+    latin = there.replace("о", "o").replace("а", "a").replace("х", "x").replace("с", "c")
+    assert latin != there
+    greek = "Που βρίσκεται το ΒΙΒΛΙΟ"
+    rows = [("a", there), ("b", latin), ("c", there.replace("е", "e")), ("d", "Где стоит библиотека"), ("e", greek), ("f", greek.replace("ΒΙΒΛΙΟ", "BΙBΛIO")), ("g", "The copy is here"), ("h", "The сорy is here"), ("i", "The сору is here")]
+    assert pairs_of(spark, rows) == {("a", "b"), ("a", "c"), ("b", "c"), ("e", "f"), ("g", "h"), ("g", "i"), ("h", "i")}
+
+
+def test_pairs_of_a_hot_class(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "CLASS_PART", 7)
+    rows = [(f"k{i:03}", "one text" if i % 3 else "one\u00a0text") for i in range(60)]
+    want = {(a, b) for a, x in rows for b, y in rows if a < b and x != y}
+    assert pairs_of(spark, rows) == want
 
 
 def test_unattested_repairs_are_left_alone(spark):
