@@ -1,9 +1,11 @@
 """Filling fixed-capacity containers with items (problem 8).
 
 Hierarchical residual packing: every partition packs its items best fit, largest first; bins
-that are nearly full are done. The underfull ones become the items of the next round, which
-runs on fewer partitions, until one partition holds them or a round gains nothing. Where all
-that is left is too much for one task, rounds go on over new partitions of bounded size.
+that are nearly full are done. The underfull ones become the items of the next round, over new
+partitions of bounded size. From then on only bins that are at most half full can still be put
+together, as no two others fit into one; a partition leaves at most one of them a capacity, so
+each round has far fewer, down to one task. In the end at most one bin of each capacity is not
+more than half full, whatever the number of items.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from gneiss.llm.tokens import DEFAULT, TOKENIZERS, count_tokens, cuts, distinct_
 from gneiss.runtime import cut, ship, table
 
 #: A bin filled to this share is done; so many items or bins are packed in one task.
-NEARLY_FULL, PER_TASK, SHRINK = 0.995, 20_000, 8
+NEARLY_FULL, PER_TASK = 0.995, 20_000
 _MEMBER = "struct<doc_id: bigint, variant: bigint, copy: int, part: int, begin: int, end: int, tokens: int>"
 _BIN = f"pack_kind string, capacity int, size int, members array<{_MEMBER}>"
 
@@ -43,7 +45,7 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def items(documents: DataFrame, sizes: DataFrame, path: str) -> DataFrame:
     """Every document as one bin of one item for each capacity, or, where it alone exceeds the
-    capacity, as pieces of it. Each text is tokenized once."""
+    capacity, as pieces of it. Words, not texts, are tokenized, each once in a worker."""
     kinds = sorted((r["pack_kind"], int(r["capacity_tokens"])) for r in sizes.where("pack_kind is not null and capacity_tokens > 0").select("pack_kind", "capacity_tokens").distinct().collect())  # a fixed table
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,19 +89,17 @@ def pack(bins: DataFrame, per_task: int = PER_TASK, nearly_full: float = NEARLY_
     first = lambda salt: F.xxhash64(F.lit(salt), "pack_kind", F.col("members")[0]["doc_id"], F.col("members")[0]["variant"], F.col("members")[0]["copy"], F.col("members")[0]["part"])
     rest = cut(bins)
     left = rest.count()
-    full = F.col("size") >= F.col("capacity") * nearly_full
     finished: list[DataFrame] = []
-    tasks, salt = max(1, -(-left // per_task)), 0
+    turn = 0
     while left:
-        spread = rest.repartition(tasks, first(salt)) if tasks > 1 else rest.coalesce(1)
+        tasks = -(-left // per_task)
+        spread = rest.repartition(tasks, first(turn)) if tasks > 1 else rest.coalesce(1)  # of at most per_task
         packed = cut(spread.mapInPandas(_pack, _BIN))
-        finished.append(packed.where(full))
-        rest = packed.where(~full)
-        before, left = left, rest.count()
-        if tasks == 1 or (left >= before * 0.995 and left > per_task):
-            finished.append(rest)
-            break
-        tasks, salt = max(1, -(-left // per_task), tasks // SHRINK if left <= per_task * (tasks // SHRINK or 1) else 1), salt + 1
+        # first every underfull bin goes on, later those that can still meet their like
+        done = F.lit(True) if tasks == 1 else F.col("size") >= F.col("capacity") * nearly_full if turn == 0 else F.col("size") * 2 > F.col("capacity")
+        finished.append(packed.where(done))
+        rest = packed.where(~done)
+        left, turn = rest.count(), turn + 1
     out = finished[0] if finished else rest
     for f in finished[1:]:
         out = out.unionByName(f)

@@ -2,6 +2,7 @@
 clashing extra columns, and brute-force or round-trip checks."""
 
 import datetime as dt
+import itertools
 import json
 import math
 import random
@@ -239,6 +240,25 @@ def test_conversations(spark):
 
 
 # ---------------------------------------------------------------- 8 packing
+@pytest.mark.parametrize("text", ["", "a", "It's 12,5 % — của  và\n\n\tx_y ", "word" * 3000 + " end", " " * 300 + "x", "<|endoftext|> ok", "ﬁ ½ é e\u0301 😀\u200d", "a b " * 2000])
+def test_words_sum_up_to_their_text(text):
+    path = f"{tokens.TOKENIZERS}/{tokens.DEFAULT}"
+    assert tokens.word_sizes(path) is not None
+    n = len(tokens.tokenizer(path).encode(text, add_special_tokens=False).ids)
+    assert tokens.count_tokens([text, text], path) == [n, n]
+    if text:
+        cut = tokens.cuts(text, 20, path)
+        assert "".join(text[b:e] for b, e, _ in cut) == text and sum(k for _, _, k in cut) == n and max(k for _, _, k in cut) <= 20
+
+
+def test_at_most_one_bin_is_half_empty(spark):
+    """Items a little over a third of the capacity, many more than one task takes."""
+    rows = [("k", 100, s, [(i, 0, 0, 0, 0, s, s)]) for i, s in enumerate([34 + i % 3 for i in range(900)])]
+    got = packing.pack(spark.createDataFrame(rows, packing._BIN), per_task=40).collect()
+    assert sorted(m["doc_id"] for b in got for m in b["members"]) == list(range(900)) and all(b["size"] <= 100 for b in got)
+    assert sum(b["size"] * 2 <= 100 for b in got) <= 1
+
+
 def test_best_fit_never_overfills():
     r = random.Random(6)
     sizes = [r.randint(1, 100) for _ in range(500)]
@@ -271,6 +291,15 @@ def test_packing_round_trip(spark):
     assert packing.packed_documents(d.where("false"), sizes).count() == 0
 
 
+def test_nearest_reaches_what_few_documents_allow():
+    sizes, most, want = [52, 204, 216, 786, 6115], [3] * 5, 2960
+    best = min(abs(want - sum(a * b for a, b in zip(sizes, c))) for c in itertools.product(range(4), repeat=5))
+    change = mixing.nearest(sizes, [1, 1, 1, 1, 0], most, want - sum(sizes[:4]))
+    got = sum(t * (k + m) for t, k, m in zip(sizes, [1, 1, 1, 1, 0], change))
+    assert all(0 <= k + m <= 3 for k, m in zip([1, 1, 1, 1, 0], change)) and abs(want - got) <= max(best, 0.01 * want)
+    assert mixing.nearest([], [], [], 5.0) == [] and mixing.nearest([7], [1], [1], 3.0) == [0]
+
+
 # ---------------------------------------------------------------- 9 mixing
 def test_mix_meets_its_targets(spark):
     r = random.Random(3)
@@ -279,7 +308,7 @@ def test_mix_meets_its_targets(spark):
     mix = mixing.mixed(mixing.measured(docs(spark, texts)), targets).cache()
     most = {"big": 1, "mid": 2, "few": 4}
     assert all(1 <= row["copies"] <= most[row["source"]] for row in mix.collect())
-    shares = {x["source"]: x["actual_share"] for x in mixing.report(mix, targets).collect()}
+    shares = {x["source"]: x["actual_share"] for x in mixing.report(mix, targets, mixing.measured(docs(spark, texts))).collect()}
     for s, want in (("big", 0.5), ("mid", 0.3), ("few", 0.15)):
         assert shares[s] == pytest.approx(want / 0.95, abs=0.02)
     assert shares["absent"] == 0
