@@ -11,11 +11,11 @@ together are the mean of their prior, towards which a subject with few documents
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -57,19 +57,55 @@ class TermModel:
     info: np.ndarray
     sources: dict[str, np.ndarray]
 
+    @cached_property
+    def _codes(self) -> tuple[dict[str, int], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Numbers of the single words, their terms, and for runs of two and three words the sorted
+        keys and their terms. The key of a run is made of the place of the run without its last word
+        and that word: a run is known only where its parts are."""
+        grams = sorted((tuple(t.split(" ")), i) for t, i in self.vocabulary.items())
+        words = {g[0]: n for n, (g, _) in enumerate(x for x in grams if len(x[0]) == 1)}
+        at = {g: words[g[0]] for g, _ in grams if len(g) == 1}
+        tables = []
+        for length in (2, 3):
+            keyed = sorted((at[g[:-1]] * len(words) + words[g[-1]], i, g) for g, i in grams if len(g) == length and g[:-1] in at and g[-1] in words)
+            at = {g: n for n, (_, _, g) in enumerate(keyed)}
+            tables.append((np.array([x for x, _, _ in keyed], dtype=np.int64), np.array([i for _, i, _ in keyed], dtype=np.int64)))
+        return words, np.array([i for g, i in grams if len(g) == 1], dtype=np.int64), tables
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_codes"}
+
     def scores(self, found: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For the sentences that hold known terms, their places and the mean log odds over their
         terms, weighed by information."""
-        known = [[i for t in terms(s) if (i := self.vocabulary.get(t)) is not None] for s in found]
-        which = np.array([k for k, at in enumerate(known) if at], dtype=np.int64)
-        if not len(which):
-            return which, np.zeros((0, self.weight.shape[1]))
-        lens = np.array([len(known[k]) for k in which])
-        at = np.fromiter((i for k in which for i in known[k]), dtype=np.int64, count=int(lens.sum()))
-        begin = np.cumsum(lens) - lens
-        total = np.add.reduceat(self.info[at].astype(np.float64), begin)
+        words, single, tables = self._codes
+        some = [_WORD.findall(s.lower()) for s in found]
+        code = np.fromiter((words.get(w, -1) for x in some for w in x), dtype=np.int64)
+        of = np.repeat(np.arange(len(some)), [len(x) for x in some])
+        known = code >= 0
+        pairs = [of[known] * len(self.info) + single[code[known]]] if len(single) else []
+        run, where = code, np.arange(len(code))
+        for length, (keys, terms_of) in enumerate(tables, 1):
+            # runs that end one word further, in the same sentence
+            ok = (run >= 0) & (where + length < len(code))
+            run, where = run[ok], where[ok]
+            nxt = code[where + length]
+            ok = (nxt >= 0) & (of[where + length] == of[where])
+            key, where = run[ok] * len(words) + nxt[ok], where[ok]
+            if not len(keys):
+                break
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[place] == key
+            run, where = place[hit], where[hit]
+            pairs.append(of[where] * len(self.info) + terms_of[run])
+        at = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)  # a term counts once a sentence
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros((0, self.weight.shape[1]))
+        sentence, term = np.divmod(at, len(self.info))
+        begin = np.flatnonzero(np.append(True, sentence[1:] != sentence[:-1]))
+        total = np.add.reduceat(self.info[term].astype(np.float64), begin)
         ok = total > 1e-9
-        return which[ok], np.add.reduceat(self.weight[at].astype(np.float64), begin, axis=0)[ok] / total[ok, None]
+        return sentence[begin][ok], np.add.reduceat(self.weight[term].astype(np.float64), begin, axis=0)[ok] / total[ok, None]
 
 
 def source_odds(sources: list[str | None], labels: list[list[int]], k: int, smooth: float = 5.0) -> dict[str, np.ndarray]:
@@ -134,21 +170,25 @@ def fit_terms(docs: list[list[str]], labels: list[list[int]], sources: list[str
 KINDS = ("", "course", "notice", "report", "rule")
 
 
-def describe(text: str | None, source: str | None, kind: str | None, model: TermModel, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each subject in a document, and features of the document."""
-    found = sentences(text or "")
-    count, strength = np.zeros(k), np.zeros(k)
-    _, z = model.scores(found)
-    if len(z):
-        best = z.argmax(1)
-        count += np.bincount(best, minlength=k)
-        strength += np.bincount(best, weights=z[np.arange(len(z)), best], minlength=k)
-    n = max(1, len(found))
+def describe(texts: list[str | None], sources: list[str | None], kinds: list[str | None], model: TermModel, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each subject in each document, and features of each document."""
+    found = [sentences(t or "") for t in texts]
+    sizes = np.array([len(x) for x in found], dtype=np.int64)
+    which, z = model.scores([s for x in found for s in x])
+    d = len(found)
+    of = np.repeat(np.arange(d), sizes)[which]
+    best = z.argmax(1) if len(z) else np.zeros(0, np.int64)
+    cell = of * k + best
+    count = np.bincount(cell, minlength=d * k).reshape(d, k).astype(float)
+    strength = np.bincount(cell, weights=z[np.arange(len(z)), best] if len(z) else None, minlength=d * k).reshape(d, k).astype(float)
+    n = np.maximum(1, sizes)[:, None]
     share = count / n
-    top = max(share.max(), 1e-9)
-    odds = model.sources.get(source or "", np.zeros(k))
-    own = np.stack([share, share >= 0.25, share >= 0.2, np.minimum(count, 6) / 6, count == 1, (count == 1) & (n > 1) & (n <= 8), share / top, (share == top) & (count > 0), strength / np.maximum(count, 1), np.abs(share - 0.5) < 0.26, share > 0.75, odds], 1).astype(float)
-    doc = np.array([np.log1p(n), n == 1, n <= 4, n <= 8, float(bool(text) and len((text or "").split("\n")[0].split()) <= 4), *(float((kind or "") == x) for x in KINDS)])
+    top = np.maximum(share.max(1, keepdims=True), 1e-9)
+    odds = np.stack([model.sources.get(s or "", np.zeros(k)) for s in sources]) if d else np.zeros((0, k))
+    own = np.stack([share, share >= 0.25, share >= 0.2, np.minimum(count, 6) / 6, count == 1, (count == 1) & (n > 1) & (n <= 8), share / top, (share == share.max(1, keepdims=True)) & (count > 0), strength / np.maximum(count, 1), np.abs(share - 0.5) < 0.26, share > 0.75, odds], 2).astype(float)
+    m = n[:, 0]
+    titled = np.array([bool(t) and len(t.split("\n", 1)[0].split()) <= 4 for t in texts])
+    doc = np.stack([np.log1p(m), m == 1, m <= 4, m <= 8, titled, *(np.array([(x or "") == kind for x in kinds]) for kind in KINDS)], 1).astype(float)
     return own, doc
 
 
@@ -180,30 +220,59 @@ class ChainModel:
     term_model: TermModel
     order: list[int]
     weights: np.ndarray  # a row for each place of the chain
+    scale: tuple[float, float] = (0.0, 1.0)  # of the log odds of a combination, fitted on held-out documents
 
-    def decode(self, own: np.ndarray, doc: np.ndarray, beam: int = 8) -> tuple[list[int], float]:
-        """Most likely set of subjects and its probability, by beam search along the chain."""
-        w = self.weights
-        f, d = own.shape[1], len(doc)
+    def decode(self, own: np.ndarray, doc: np.ndarray, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
+        """Most likely set of subjects of each document, as flags, and its probability, by beam
+        search along the chain over all documents at once."""
+        w, k = self.weights, len(self.order)
+        size, f, d = len(own), own.shape[2], doc.shape[1]
         # what of each subject's input (see _row) does not depend on the decisions before it
-        o = own[self.order]
+        o = own[:, self.order]
         at = 3 * f + d
-        fixed = (o * (w[:, :f] + doc[1] * w[:, f : 2 * f] + doc[2] * w[:, 2 * f : 3 * f])).sum(1) + 0.3 * (w[:, 3 * f : at] @ doc) + w[:, at]
-        taken1, taken2 = w[:, at + 1].tolist(), w[:, at + 2].tolist()
-        some = (o[:, 0] * w[:, at + 3] + o[:, 1] * w[:, at + 4]).tolist()
-        before = w[:, at + 5 :].tolist()
-        beams: list[tuple[float, tuple[int, ...]]] = [(0.0, ())]
-        for j, base in enumerate(fixed.tolist()):
-            grown = []
-            for lp, chosen in beams:
-                n = len(chosen)
-                v = base + taken1[j] * n + (taken2[j] if n >= 2 else 0.0) + (some[j] if n else 0.0) + sum(before[j][i] for i in chosen)
-                v = max(-30.0, min(30.0, v))
-                grown.append((lp - math.log1p(math.exp(-v)), (*chosen, j)))
-                grown.append((lp - math.log1p(math.exp(v)), chosen))
-            beams = sorted(grown, key=lambda x: -x[0])[:beam]
-        lp, best = beams[0]
-        return [self.order[j] for j in best], math.exp(lp)
+        fixed = np.einsum("njf,jf->nj", o, w[:, :f]) + doc[:, 1, None] * np.einsum("njf,jf->nj", o, w[:, f : 2 * f]) + doc[:, 2, None] * np.einsum("njf,jf->nj", o, w[:, 2 * f : 3 * f])
+        fixed = fixed + 0.3 * doc @ w[:, 3 * f : at].T + w[:, at]
+        some = o[:, :, 0] * w[:, at + 3] + o[:, :, 1] * w[:, at + 4]
+        lp = np.full((size, beam), -np.inf)
+        lp[:, 0] = 0.0
+        chosen = np.zeros((size, beam, k))
+        for j in range(k):
+            n = chosen.sum(2)
+            v = fixed[:, j, None] + w[j, at + 1] * n + w[j, at + 2] * (n >= 2) + some[:, j, None] * (n > 0) + chosen @ w[j, at + 5 :]
+            v = np.clip(v, -30.0, 30.0)
+            # beam b grows into 2b, with the subject, and 2b + 1, without
+            grown = np.stack([lp - np.log1p(np.exp(-v)), lp - np.log1p(np.exp(v))], 2).reshape(size, 2 * beam)
+            best = np.argsort(-grown, axis=1, kind="stable")[:, :beam]
+            lp = np.take_along_axis(grown, best, 1)
+            chosen = np.take_along_axis(chosen, (best // 2)[:, :, None], 1)
+            chosen[:, :, j] = best % 2 == 0
+        flags = np.zeros((size, k), dtype=bool)
+        flags[:, self.order] = chosen[:, 0] > 0
+        return flags, np.exp(lp[:, 0])
+
+    def calibrated(self, p: np.ndarray) -> np.ndarray:
+        """Share of right combinations among those of probability ``p``."""
+        a, b = self.scale
+        return 1 / (1 + np.exp(-np.clip(a + b * log_odds(p), -30, 30)))
+
+
+def log_odds(p: np.ndarray) -> np.ndarray:
+    q = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(q / (1 - q))
+
+
+def background_subject(labels: list[list[int]], k: int) -> int | None:
+    """The subject that the documents' common matter belongs to: its label stands beside others much
+    more rarely (by two standard errors) than labels do, as it is given only to documents that
+    have no other. None if there is none."""
+    n, beside = np.zeros(k), np.zeros(k)
+    for own in labels:
+        n[own] += 1
+        beside[own] += len(own) > 1
+    rate = beside.sum() / max(1.0, n.sum())
+    z = (beside - rate * n) / np.sqrt(np.maximum(rate * (1 - rate) * n, 1e-9))
+    z[n == 0] = 0
+    return int(z.argmin()) if z.min() < -2 else None
 
 
 def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: list[str]) -> ChainModel:
@@ -215,32 +284,41 @@ def train(rows: list[tuple[str, str | None, str | None, list[str]]], subjects: l
     rows = [r for r in rows if r[3] and r[0]]
     texts = [sentences(r[0]) for r in rows]
     use = [i for i, t in enumerate(texts) if t]
-    # the subject most often standing beside others' words serves as background
-    background = at.get("administration")
+    background = background_subject([rows[i][3] for i in use], k)
+    model_of = lambda fit: fit_terms([texts[i] for i in fit], [rows[i][3] for i in fit], [rows[i][1] for i in fit], k, background)
+    seen_by = lambda some, m: describe([rows[i][0] for i in some], [rows[i][1] for i in some], [rows[i][2] for i in some], m, k)
     # held-out features: each half is described by the model of the other half
-    own, doc = {}, {}
-    for part in (0, 1):
-        fit = [i for i in use if i % 2 != part]
-        m = fit_terms([texts[i] for i in fit], [rows[i][3] for i in fit], [rows[i][1] for i in fit], k, background)
-        for i in use:
-            if i % 2 == part:
-                own[i], doc[i] = describe(rows[i][0], rows[i][1], rows[i][2], m, k)
-    term_model = fit_terms([texts[i] for i in use], [rows[i][3] for i in use], [rows[i][1] for i in use], k, background)
+    halves = [[i for i in use if i % 2 == part] for part in (0, 1)]
+    features = [seen_by(halves[part], model_of(halves[1 - part])) for part in (0, 1)]
+    term_model = model_of(use)
     count = Counter(l for i in use for l in rows[i][3])
     order = sorted(range(k), key=lambda s: (-count[s], subjects[s]))
-    x: list[list[np.ndarray]] = [[] for _ in order]
-    y: list[list[float]] = [[] for _ in order]
-    for i in use:
-        before = np.zeros(k)
-        for j, s in enumerate(order):
-            x[j].append(_row(own[i][s], doc[i], before, j))
-            y[j].append(float(s in rows[i][3]))
-            before[j] = y[j][-1]
     if not use:
         return ChainModel(subjects, term_model, order, np.zeros((k, len(_row(np.zeros(12), np.zeros(5 + len(KINDS)), np.zeros(k), 0)))))
-    mean = fit_logistic(np.array(sum(x, [])), np.array(sum(y, [])))
-    weights = np.stack([fit_logistic(np.array(a), np.array(b), OWN, prior=mean) for a, b in zip(x, y)])
-    return ChainModel(subjects, term_model, order, weights)
+
+    def chain(parts: Sequence[int]) -> np.ndarray:
+        x: list[list[np.ndarray]] = [[] for _ in order]
+        y: list[list[float]] = [[] for _ in order]
+        for i, part, n in sorted((i, part, n) for part in parts for n, i in enumerate(halves[part])):
+            own, doc = features[part][0][n], features[part][1][n]
+            before = np.zeros(k)
+            for j, s in enumerate(order):
+                x[j].append(_row(own[s], doc, before, j))
+                y[j].append(float(s in rows[i][3]))
+                before[j] = y[j][-1]
+        mean = fit_logistic(np.array(sum(x, [])), np.array(sum(y, [])))
+        return np.stack([fit_logistic(np.array(a), np.array(b), OWN, prior=mean) for a, b in zip(x, y)])
+
+    # how often a combination of some probability is right, seen on the half that its chain is not of
+    odds, right = [], []
+    for part in (0, 1):
+        if halves[part] and halves[1 - part]:
+            flags, p = ChainModel(subjects, term_model, order, chain([1 - part])).decode(*features[part])
+            odds.append(log_odds(p))
+            right += [float(set(np.flatnonzero(got)) == set(rows[i][3])) for i, got in zip(halves[part], flags)]
+    x = np.concatenate(odds) if odds else np.zeros(0)
+    scale = fit_logistic(np.stack([np.ones(len(x)), x], 1), np.array(right), 1.0, prior=np.array([0.0, 1.0])) if len(x) else np.array([0.0, 1.0])
+    return ChainModel(subjects, term_model, order, chain([0, 1]), (float(scale[0]), float(scale[1])))
 
 
 def subject_model(documents: DataFrame, labels: DataFrame, areas: DataFrame, most: int = MAX_LABELLED) -> ChainModel:
@@ -263,16 +341,14 @@ def subjects_of(documents: DataFrame, model: ChainModel) -> DataFrame:
         m = sent.value
         k = len(m.subjects)
         for pdf in batches:
-            out = []
-            for i, text, source, kind in zip(pdf["doc_id"], pdf["text"], pdf["source"], pdf["doc_kind"]):
-                if not text or i != i:
-                    continue
-                own, doc = describe(text, source, kind, m.term_model, k)
-                if own[:, 0].max() <= 0:
-                    continue
-                chosen, p = m.decode(own, doc)
-                out += [(i, m.subjects[s], float(own[s, 0]), p) for s in chosen]
-            yield pd.DataFrame(out, columns=["doc_id", "subject", "share", "confidence"])
+            pdf = pdf[pdf["text"].notna() & (pdf["text"] != "")]
+            for lo in range(0, len(pdf), 256):
+                some = pdf.iloc[lo : lo + 256]
+                own, doc = describe(list(some["text"]), list(some["source"]), list(some["doc_kind"]), m.term_model, k)
+                flags, p = m.decode(own, doc)
+                flags[own[:, :, 0].max(1) <= 0] = False
+                d, s = np.nonzero(flags)
+                yield pd.DataFrame({"doc_id": some["doc_id"].to_numpy()[d], "subject": np.array(m.subjects, dtype=object)[s], "share": own[d, s, 0], "confidence": m.calibrated(p)[d]})
 
     rows = spread(documents.where("doc_id is not null").select("doc_id", "text", "source", "doc_kind"), "doc_id")
     found = rows.mapInPandas(run, "doc_id long, subject string, share double, confidence double")

@@ -336,22 +336,40 @@ def test_subjects_on_held_out_documents(spark):
         kinds = r.sample(["law", "sport"], r.choice([1, 1, 2])) if r.random() < 0.8 else ["administration"]
         rows.append((doc([k for k in kinds for _ in range(r.randint(3, 5))]), "s", None, kinds))
     model = subjects.train(rows[:300], sorted(words))
-    ok = 0
-    for text, s, k, kinds in rows[300:]:
-        own, d = subjects.describe(text, s, k, model.term_model, 3)
-        ok += {model.subjects[i] for i in model.decode(own, d)[0]} == set(kinds)
-    assert ok >= 90
+    sets, p = decoded(model, rows[300:])
+    right = [got == set(kinds) for got, (_, _, _, kinds) in zip(sets, rows[300:])]
+    assert sum(right) >= 90
+    # the calibrated probability of a combination is about the share of right ones
+    assert abs(model.calibrated(p).mean() - sum(right) / len(right)) < 0.08
     d = spark.createDataFrame([(1, doc(["law"] * 5), "s", None), (1, doc(["law"] * 5), "s", None), (2, None, None, None), (3, "", "s", "x"), (4, "no known words", "s", None)], "doc_id long, text string, source string, doc_kind string")
     assert [(x["doc_id"], x["subject"]) for x in subjects.subjects_of(d, model).collect()] == [(1, "law")]
 
 
+def decoded(model, rows):
+    flags, p = model.decode(*subjects.describe([x[0] for x in rows], [x[1] for x in rows], [x[2] for x in rows], model.term_model, len(model.subjects)))
+    return [{model.subjects[i] for i, on in enumerate(f) if on} for f in flags], p
+
+
 def held_out(rows, names):
     model = subjects.train([r for i, r in enumerate(rows) if i % 4], names)
-    ok = 0
-    for text, s, k, kinds in rows[::4]:
-        own, d = subjects.describe(text, s, k, model.term_model, len(names))
-        ok += {model.subjects[i] for i in model.decode(own, d)[0]} == set(kinds)
-    return ok / len(rows[::4])
+    return sum(got == set(kinds) for got, (_, _, _, kinds) in zip(decoded(model, rows[::4])[0], rows[::4])) / len(rows[::4])
+
+
+def test_background_is_read_off_the_labels():
+    r = random.Random(3)
+    labels = [[0] if r.random() < 0.3 else sorted(r.sample([1, 2, 3], r.choice([1, 2]))) for _ in range(200)]
+    assert subjects.background_subject(labels, 4) == 0
+    assert subjects.background_subject([[0], [1], [0, 1]], 2) is None and subjects.background_subject([], 2) is None
+
+
+def test_runs_of_words_are_scored_as_their_terms():
+    text = ["The red fox jumps.", "A red fox, a red fox!", "Nothing here", ""]
+    m = subjects.fit_terms([["The red fox jumps high.", "The red fox sleeps."], ["A blue whale sings.", "The blue whale sleeps."]], [[0], [1]], ["s", "s"], 2, None)
+    which, z = m.scores(text)
+    for k, row in zip(which, z):
+        at = [m.vocabulary[t] for t in subjects.terms(text[k]) if t in m.vocabulary]
+        assert abs(row - m.weight[at].sum(0) / m.info[at].sum()).max() < 1e-5
+    assert set(which) == {k for k, t in enumerate(text) if sum(m.info[m.vocabulary[x]] for x in subjects.terms(t) if x in m.vocabulary) > 1e-9}
 
 
 def test_each_subject_learns_its_own_partners_and_sources():
