@@ -110,14 +110,17 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[str, l
     return level, pieces
 
 
-_SCHEMA = "_id long, piece int, boundary string, begin int, fresh int, end int, breaks_before int, breaks_inside int, breaks int, text string"
+_SCHEMA = "key {key}, piece int, boundary string, begin int, fresh int, end int, breaks_before int, breaks_inside int, breaks int, text string"
+
+
+_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
 def _split_batches(limit: int, overlap: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["_id"], pdf["content"]):
+            for i, text in zip(pdf["key"], pdf["content"]):
                 if text is None:
                     continue
                 level, pieces = split(text, limit, overlap)
@@ -125,7 +128,7 @@ def _split_batches(limit: int, overlap: int):
                 for k, (begin, fresh, end) in enumerate(pieces):
                     before = text.count("\f", 0, begin)
                     out.append((i, k, level, begin, fresh, end, before, text.count("\f", begin, end), total, text[begin:end]))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+            yield pd.DataFrame(out, columns=_NAMES)
 
     return run
 
@@ -137,9 +140,9 @@ def split_items(items: DataFrame, key: str, content: str, limit: int = LIMIT, ov
     feeds, which end pages. Items are split where they lie, without a shuffle of their text
     beyond removing repeats."""
     ship(items.sparkSession)
-    rows = items.select(F.col(key).alias("key"), F.col(content).alias("content")).distinct().withColumn("_id", F.xxhash64("key", "content"))
-    pieces = rows.select("_id", "content").mapInPandas(_split_batches(limit, overlap), _SCHEMA)
-    return rows.select("_id", "key").join(pieces, "_id").drop("_id").withColumnRenamed("key", key)
+    rows = items.select(F.col(key).alias("key"), F.col(content).alias("content")).distinct()
+    schema = _SCHEMA.format(key=rows.schema["key"].dataType.simpleString())
+    return rows.mapInPandas(_split_batches(limit, overlap), schema).withColumnRenamed("key", key)
 
 
 def located(pieces: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -9,10 +9,13 @@ the same skeleton, a spelling in which characters that scanners confuse are one.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gneiss.llm.text import plain
-from gneiss.runtime import cut, keep, ship, table
+from gneiss.runtime import cut, keep, salted_join, ship, table
 
 # What scanners confuse, each letter written in the strokes it can be read as.
 _STROKES = {
@@ -95,7 +98,7 @@ def number_line(line: str) -> tuple[str, int, bool] | None:
     """Kind of numeral, value and whether it is marked as a page number, for a line that holds
     only one number."""
     bare = line.strip().lower()
-    m = _NUMBER_LINE.match(bare) if len(bare) <= 40 else None
+    m = _NUMBER_LINE.match(bare)
     if not m:
         return None
     before, prefix, dot, number, total, after = m.groups()
@@ -113,14 +116,27 @@ def number_line(line: str) -> tuple[str, int, bool] | None:
     return None
 
 
+_PARTS = re.compile(r"[^\W_]+")
+_ROMAN_PART = re.compile(r"[ivxlc]{1,6}")
+
+
 def signature(line: str) -> str:
-    """What stays of a running line from page to page, however well recognised; nothing for a
-    line of over 300 characters, which is text."""
-    if len(line) > 300:
-        return ""
-    s = re.sub(r"^\s*\(?(?:\d{1,3}|[ivxlc]{1,6})\)?\s{2,}|\s{2,}\(?(?:\d{1,3}|[ivxlc]{1,6})\)?\s*$", " ", line.strip().lower())
-    s = re.sub(r"^\W*\d{1,3}\W+(?=\D)|(?<=\D)\W+\d{1,3}\W*$", " ", s)
-    return re.sub(r"[\W_]+", " ", skeleton(re.sub(r"[\W_]+", " ", s))).strip()
+    """What stays of a running line from page to page, however well recognised: its words in
+    strokes, without a number of up to three digits at either end, or a Roman one that two blanks
+    set apart. Nothing for a line without letters or digits."""
+    low = line.strip().lower()
+    parts = _PARTS.findall(low)
+    if len(parts) > 1 and _paged(parts[0], low[low.find(parts[0]) + len(parts[0]) :].lstrip(")")):
+        parts = parts[1:]
+    if len(parts) > 1 and _paged(parts[-1], low[: low.rfind(parts[-1])].rstrip("(")[::-1]):
+        parts = parts[:-1]
+    return " ".join(_PARTS.findall(skeleton(" ".join(parts))))
+
+
+def _paged(part: str, beside: str) -> bool:
+    if part.isdigit():
+        return len(part) <= 3
+    return beside[:2].isspace() and len(beside) > 1 and _ROMAN_PART.fullmatch(part) is not None
 
 
 def page_segments(text: str) -> list[list[str]]:
@@ -147,44 +163,71 @@ def is_wrapped(text: str) -> bool:
 
 
 # ---------------------------------------------------------------- document profiles
-_EDGE_SCHEMA = "doc_id string, chunk_id string, kind string, sig string, off int"
+_EDGE_SCHEMA = "doc_id string, chunk_id string, kind string, sig string, ends boolean, place string, off int, times int, page long"
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines at page edges by signature and page offsets of number lines."""
+    """Lines at page edges by signature and page offsets of number lines; of the lines between
+    them how often each signature occurs in a batch."""
     for pdf in batches:
         out = []
+        between: Counter = Counter()
         for doc, chunk, lo, hi, text in zip(pdf["doc_id"], pdf["chunk_id"], pdf["lo"], pdf["hi"], pdf["content"]):
             for s, lines in enumerate(page_segments(plain(text))):
-                for place, line in zip(_places(lines), lines):
-                    n = number_line(line) if line.strip() else None
+                for i, (place, line) in enumerate(zip(_places(lines), lines)):
+                    if not line.strip():
+                        continue
+                    n = number_line(line)
                     if n:
                         if lo == lo and lo == hi and place != "mid":
-                            out.append((doc, chunk, n[0], "", int(lo) + s - n[1]))
-                    elif place in ("first", "second", "last", "penult") and not _SECTION.match(line) and not re.search(r"[.!?;,]\s*$", line) and "|" not in line.strip(" |")[:0]:
-                        sig = signature(line)
-                        if len(sig) >= 4:
-                            out.append((doc, chunk, "line", sig, 0))
-        yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "kind", "sig", "off"])
+                            out.append((doc, chunk, n[0], "", False, place, int(lo) + s - n[1], 1, 0))
+                    elif not _SECTION.match(line) and line.count("|") < 2 and divided_end(line) is None and (sig := signature(line)):
+                        if place == "mid":
+                            between[doc, sig] += 1
+                        else:
+                            out.append((doc, chunk, "line", sig, bool(re.search(r"[.!?;,]$", line.rstrip())), place, 0, 1, crc32("\n".join(lines[:i] + lines[i + 1 :]).encode("utf-8", "replace"))))
+        out += [(doc, None, "line", sig, False, "mid", 0, n, None) for (doc, sig), n in between.items()]
+        yield pd.DataFrame(out, columns=["doc_id", "chunk_id", "kind", "sig", "ends", "place", "off", "times", "page"])
 
 
-#: A running line stands on at least this share of a document's chunks (so a document has at
-#: most 4 / RECURS signatures), and on at least two.
+#: A line that does not end like a sentence and stands at page edges of this share of a document's
+#: chunks is a running line; others, as those of a chapter, if they keep to one place of the page.
 RECURS = 0.1
 
 
 def profiles(chunks: DataFrame) -> DataFrame:
-    """``(doc_id, sigs, arabic, roman)``: recurring edge lines and the usual page offsets."""
+    """``(doc_id, sigs, arabic, roman)``: recurring edge lines and the usual page offsets.
+
+    A running line stands on two chunks at least. It is told from text that happens to recur by
+    its share of the chunks, or by its place: a running line is at its own place of the page in
+    nine of ten cases, a line of text there in one of ten; the evidence must exceed what the number
+    of different lines of the document makes likely by chance. Pages that are copies of one another
+    count once there. Of page offsets the most
+    frequent one counts, and any that is met more often than chance explains."""
     edges = keep(chunks.mapInPandas(_edges, _EDGE_SCHEMA))
     size = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    sigs = edges.where("kind = 'line'").groupBy("doc_id", "sig").agg(F.count_distinct("chunk_id").alias("k"))
-    sigs = sigs.join(size, "doc_id").where((F.col("k") >= 2) & (F.col("k") >= F.col("n") * RECURS)).groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
-    offs = edges.where("kind != 'line'").groupBy("doc_id", "kind", "off").agg(F.count_distinct("chunk_id").alias("k")).where("k >= 2")
-    offs = offs.groupBy("doc_id").agg(*[F.max_by(F.when(F.col("kind") == k, F.col("off")), F.when(F.col("kind") == k, F.struct("k", -F.abs("off")))).alias(k) for k in ("arabic", "roman")])
+    lines = edges.where("kind = 'line'")
+    at = ("first", "second", "penult", "last")
+    held = lines.groupBy("doc_id", "sig").agg(F.count_distinct("chunk_id").alias("k"), F.bool_and(F.when(F.col("place") != "mid", F.col("ends"))).alias("ends"), F.sum(F.when(F.col("place") == "mid", F.col("times")).otherwise(0)).alias("mid"))
+    seen = lines.where("place != 'mid'").select("doc_id", "sig", "place", "page").distinct()
+    held = held.join(seen.groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("edge"), *[F.count_if(F.col("place") == x).alias(x) for x in at]), ["doc_id", "sig"])
+    kinds = held.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kinds"))
+    own = F.greatest(*at)
+    evidence = (2 * own - F.col("edge") - F.col("mid")) * math.log(0.9 / 0.1) - F.log(F.col("kinds").cast("double"))
+    often = ~F.col("ends") & (F.col("k") >= F.col("n") * RECURS)
+    sigs = held.where("k >= 2").join(size.join(kinds, "doc_id"), "doc_id").where(often | (evidence > 3.0)).groupBy("doc_id").agg(F.collect_list("sig").alias("sigs"))
+    offs = edges.where("kind != 'line'").groupBy("doc_id", "kind", "off").agg(F.count_distinct("chunk_id").alias("k"))
+    spread = offs.groupBy("doc_id", "kind").agg(F.count_if(F.col("k") == 1).alias("single"), (F.max("off") - F.min("off") + 1).alias("range"), F.max(F.struct("k", -F.abs("off"), "off")).alias("best"))
+    # how many offsets would be met k times if numbers stood anywhere as often as those met once do
+    times = F.least(F.col("k"), F.lit(20)).cast("int")
+    chance = F.col("range") * F.pow(F.col("single") / F.col("range"), times) / F.factorial(times)
+    offs = offs.where("k >= 2").join(spread, ["doc_id", "kind"]).where((F.col("off") == F.col("best.off")) | (chance < 0.01))
+    offs = offs.groupBy("doc_id").agg(*[F.collect_set(F.when(F.col("kind") == k, F.col("off"))).alias(k) for k in ("arabic", "roman")])
     return size.select("doc_id").join(sigs, "doc_id", "left").join(offs, "doc_id", "left")
 
 
 # ---------------------------------------------------------------- the line model
+Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 STATES = ("break", "running", "number", "heading", "body")
 _SHAPES = ("blank", "recurs", "own number", "other number", "section", "table", "full", "ends", "open")
 _PLACES = ("first", "second", "penult", "last", "mid")
@@ -198,6 +241,7 @@ def _features(text: str, lo: float, hi: float, sigs, arabic, roman, heads) -> li
     """For each page its lines with observation cell and rule-made state."""
     pages = page_segments(text)
     known = set(sigs) if sigs is not None else set()
+    offsets = {"arabic": _numbers(arabic), "roman": _numbers(roman)}
     titles = {re.sub(r"\W+", " ", h.lower()).strip() for h in heads} if heads is not None else set()
     numbers = sum(1 for p in pages for l in p if l.strip() and (m := number_line(l)) and m[2])
     width = max((len(l.strip()) for p in pages for l in p), default=0)
@@ -210,10 +254,9 @@ def _features(text: str, lo: float, hi: float, sigs, arabic, roman, heads) -> li
             if not bare:
                 shape, state = "blank", "break"
             elif n:
-                off = {"arabic": arabic, "roman": roman}[n[0]]
-                usual = off if off == off and off is not None else 0
+                usual = offsets[n[0]]
                 span = range(int(lo), int(max(hi, lo + max(len(pages) - 1, numbers))) + 1) if lo == lo else ()
-                own = any(p - n[1] in (usual, 0) for p in span) or (n[2] and (off is None or off != off) and place != "mid")
+                own = any(p - n[1] in usual or p == n[1] for p in span) or (n[2] and not usual and place != "mid")
                 shape, state = ("own number", "number") if own else ("other number", "body")
             elif re.sub(r"\W+", " ", bare.lower()).strip() in titles or _SECTION.match(bare):
                 shape, state = "section", "heading"
@@ -229,6 +272,34 @@ def _features(text: str, lo: float, hi: float, sigs, arabic, roman, heads) -> li
     return out
 
 
+def _numbers(some) -> set[int]:
+    return {int(x) for x in some} if some is not None else set()
+
+
+_OBSERVED = "chunk_id string, content string, obs array<int>, rule array<int>, sizes array<int>"
+
+
+def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For the lines of every chunk their observation cells and rule-made states, page by page."""
+    for pdf in batches:
+        out = []
+        for row in pdf.itertuples(index=False):
+            pages = _features(plain_lines(page_segments(row.content)), row.lo, row.hi, row.sigs, row.arabic, row.roman, row.heading_path)
+            out.append((row.chunk_id, row.content, [o for p in pages for _, o, _ in p], [r for p in pages for _, _, r in p], [len(p) for p in pages]))
+        yield pd.DataFrame(out, columns=["chunk_id", "content", "obs", "rule", "sizes"])
+
+
+def _pages(cells, sizes) -> list[list[int]]:
+    at = np.cumsum(sizes).tolist()
+    flat = [int(x) for x in cells]
+    return [flat[e - int(n) : e] for e, n in zip(at, sizes)]
+
+
+def decoder(model: Model):
+    """``viterbi`` that keeps the states of sequences it has met, as pages are often alike."""
+    return lru_cache(maxsize=50_000)(lambda obs: viterbi(list(obs), *model))
+
+
 def viterbi(obs: list[int], start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> list[int]:
     """Most likely states of one page (log probabilities)."""
     if not obs:
@@ -245,20 +316,17 @@ def viterbi(obs: list[int], start: np.ndarray, trans: np.ndarray, emit: np.ndarr
     return path[::-1]
 
 
-Model = tuple[np.ndarray, np.ndarray, np.ndarray]
-
-
 def _count_batches(model: Model | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
+        decode = None if model is None else decoder(model)
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                for page in _features(plain(row.content), row.lo, row.hi, row.sigs, row.arabic, row.roman, row.heading_path):
-                    states = [s for _, _, s in page] if model is None else viterbi([o for _, o, _ in page], *model)
-                    for k, (s, (_, o, _)) in enumerate(zip(states, page)):
-                        c["emit", s, o] += 1
-                        c["trans", states[k - 1], s] += k > 0
-                        c["start", s, 0] += k == 0
+                for obs, rule in zip(_pages(row.obs, row.sizes), _pages(row.rule, row.sizes)):
+                    states = rule if decode is None else decode(tuple(obs))
+                    c.update(("emit", s, o) for s, o in zip(states, obs))
+                    c.update(("trans", a, b) for a, b in zip(states, states[1:]))
+                    c.update(("start", s, 0) for s in states[:1])
         yield pd.DataFrame([(t, a, b, n) for (t, a, b), n in c.items()], columns=["what", "a", "b", "n"])
 
     return run
@@ -269,7 +337,7 @@ def train(described: DataFrame, rounds: int = 2) -> Model:
     The first round counts rule-made labels, each later one the model's own decoding."""
     model: Model | None = None
     for _ in range(rounds):
-        rows = described.mapInPandas(_count_batches(model), "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
+        rows = described.select("obs", "rule", "sizes").mapInPandas(_count_batches(model), "what string, a int, b int, n long").groupBy("what", "a", "b").agg(F.sum("n").alias("n")).collect()
         k = len(STATES)
         start, trans, emit = np.ones(k), np.ones((k, k)), np.full((k, _CELLS), 0.05)
         for r in rows:
@@ -293,13 +361,12 @@ def bare_word(token: str) -> str:
     return token[b:e].lower()
 
 
-def read_chunk(pages: list[list[tuple[str, int, int]]], model: Model) -> tuple[list[tuple[str, str]], list[list[str]], list[tuple[str, str]]]:
+def read_chunk(pages: list[list[str]], states: list[list[int]]) -> tuple[list[tuple[str, str]], list[list[str]], list[tuple[str, str]]]:
     """Furniture ``(kind, line)``, paragraphs as lists of lines, and the divided words as pairs
     of their parts. Page turns do not end a paragraph that runs on."""
     furniture, paragraphs, divided = [], [[]], []
-    for page in pages:
-        states = viterbi([o for _, o, _ in page], *model)
-        for (line, _, _), s in zip(page, states):
+    for page, labels in zip(pages, states):
+        for line, s in zip(page, labels):
             name, bare = STATES[s], line.strip()
             if name == "break" or not bare:
                 if paragraphs[-1]:
@@ -335,13 +402,13 @@ _FOUND_SCHEMA = "chunk_id string, kind string, value string, other string, n int
 
 def _find_batches(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode = decoder(model)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                raw = [p for p in page_segments(row.content)]
+                raw = page_segments(row.content)
                 text = plain_lines(raw)
-                pages = _features(text, row.lo, row.hi, row.sigs, row.arabic, row.roman, row.heading_path)
-                furniture, paragraphs, divided = read_chunk(pages, model)
+                furniture, paragraphs, divided = read_chunk(page_segments(text), [decode(tuple(p)) for p in _pages(row.obs, row.sizes)])
                 if furniture:  # the line as stored
                     stored = {plain(l).strip(): l.strip() for p in raw for l in p if l.strip()}
                     out += [(row.chunk_id, k, stored.get(v, v), None, 1) for k, v in dict.fromkeys(furniture)]
@@ -386,8 +453,10 @@ def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def described_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with the profile of their document."""
-    return chunks.join(profiles(chunks), "doc_id", "left").withColumn("arabic", F.col("arabic").cast("double")).withColumn("roman", F.col("roman").cast("double"))
+    """``(chunk_id, content, obs, rule, sizes)``: chunks with what their lines show, seen with the
+    profile of their document; the rows of a document that holds many are spread."""
+    known = salted_join(chunks, profiles(chunks), ["doc_id"], "left")
+    return cut(known.mapInPandas(_observe, _OBSERVED))
 
 
 def findings(described: DataFrame, model: Model) -> DataFrame:
@@ -436,7 +505,7 @@ def repairs(found: DataFrame) -> DataFrame:
 
 def scan_repairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Model]:
     ship(spark)
-    described = cut(described_chunks(all_chunks(spark, sf_dir)))
+    described = described_chunks(all_chunks(spark, sf_dir))
     model = train(described)
     return repairs(findings(described, model)), described, model
 
@@ -448,11 +517,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _paragraph_batches(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decode = decoder(model)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                pages = _features(plain_lines(page_segments(row.content)), row.lo, row.hi, row.sigs, row.arabic, row.roman, row.heading_path)
-                _, paragraphs, _ = read_chunk(pages, model)
+                states = [decode(tuple(p)) for p in _pages(row.obs, row.sizes)]
+                _, paragraphs, _ = read_chunk(page_segments(plain_lines(page_segments(row.content))), states)
                 right = dict(zip(row.was, row.value)) if row.was is not None else {}
                 for k, lines in enumerate(paragraphs):
                     text = lines[0]

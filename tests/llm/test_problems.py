@@ -40,6 +40,30 @@ def test_scan_damage_is_found_and_repaired(spark):
     assert "the disciplinary board hears the student before a warning is recorded. Every long-term plan" in text and "North College" not in text
 
 
+def test_running_lines_and_offsets_of_chapters(spark):
+    """Chapters with their own header, and their own numbering, in one document of many chunks."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(3))
+    body = lambda: "\n".join(" ".join(word() for _ in range(9)) for _ in range(8))
+    chunks = []
+    for c, name in enumerate(["Red", "Blue", "Green", "Grey", "Pink", "White", "Black", "Brown", "Gold", "Tan", "Teal", "Plum"]):
+        chunks += [(f"{name}{i}", 100 * c + i, f"{name} Chapter of the Guide\n{body()}\n{100 * c + i - 3 * c}") for i in range(1, 13)]
+    d = scans.described_chunks(scan(spark, chunks))
+    found = {(x["chunk_id"], x["kind"], x["value"]) for x in scans.repairs(scans.findings(d, scans.train(d))).where("kind in ('running_line', 'page_number')").collect()}
+    want = {(c, "running_line", t.split("\n")[0]) for c, _, t in chunks} | {(c, "page_number", t.split("\n")[-1]) for c, _, t in chunks}
+    assert len(want & found) >= 0.97 * len(want) and not found - want
+
+
+def test_short_and_pointed_running_lines_and_long_ones(spark):
+    r = random.Random(4)
+    body = lambda: "\n".join(" ".join("".join(r.choice("bdgklmnprst") + r.choice("aeiou") for _ in range(3)) for _ in range(9)) for _ in range(8))
+    for line in ("BIO", "St. Mary's Univ.", "A very long title " * 20 + "ends"):
+        d = scans.described_chunks(scan(spark, [(f"c{i}", i, f"{line}\n{body()}") for i in range(1, 13)]))
+        found = scans.repairs(scans.findings(d, scans.train(d))).where("kind = 'running_line'").collect()
+        assert len(found) == 12 and {x["value"] for x in found} == {line.strip()}
+    assert scans.number_line("." * 50_000 + " 12 " + "-" * 50_000) == ("arabic", 12, True)
+
+
 def test_scan_of_nothing_and_of_long_lines(spark):
     d = scans.described_chunks(scan(spark, []))
     assert scans.repairs(scans.findings(d, scans.train(d))).count() == 0
