@@ -27,8 +27,8 @@ def temporal_intent(question: Column) -> Column:
 
 
 def version_key(label: Column) -> Column:
-    """Version labels compare without case, blanks and punctuation."""
-    return F.regexp_replace(F.lower(label), r"[\s\p{P}]+", "")
+    """Version labels compare by their letters a to z and digits, without case and accents."""
+    return F.regexp_replace(fold(label), "[^a-z0-9]", "")
 
 
 def question_key(question: Column) -> Column:

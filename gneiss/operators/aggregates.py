@@ -147,11 +147,24 @@ def recurring_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFra
 
 
 def canary(windows: DataFrame, by: str, order: str) -> DataFrame:
-    """Health of ordered metric windows: ``state`` rollback with its reason, healthy or waiting.
-    Budgets are checked in a fixed order; three latency failures in a row roll back."""
+    """Health of ordered metric windows: ``state`` rollback with its reason, healthy or waiting, and
+    ``promoted``, how many traffic steps have been earned so far.
+
+    Budgets are checked in a fixed order; three latency failures in a row roll back, and a rollback
+    holds for all later windows with its first reason. Every three healthy windows in a row earn a
+    step; a window that waits starts the count anew."""
     w = Window.partitionBy(by).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
     slow = (F.col("p95") > 1000) | (F.col("p99") > 2000)
     d = windows.withColumn("_slow", slow.cast("int"))
     three = (F.col("_slow") + F.lag("_slow", 1, 0).over(w) + F.lag("_slow", 2, 0).over(w)) == 3
-    reason = F.when(F.col("requests") < 100, "insufficient_observations").when(F.col("error_rate") > F.col("baseline_error_rate"), "error_rate_regression").when(three, "latency_budget_three_windows")
-    return d.withColumn("reason", reason).withColumn("state", F.when(F.col("reason") == "insufficient_observations", "waiting").when(F.col("reason").isNotNull(), "rollback").when(F.col("_slow") == 1, "waiting").otherwise("healthy")).drop("_slow")
+    few = F.col("requests") < 100
+    d = d.withColumn("_bad", F.when(~few & (F.col("error_rate") > F.col("baseline_error_rate")), "error_rate_regression").when(~few & three, "latency_budget_three_windows"))
+    d = d.withColumn("_first", F.first("_bad", ignorenulls=True).over(upto))
+    d = d.withColumn("state", F.when(F.col("_first").isNotNull(), "rollback").when(few | (F.col("_slow") == 1), "waiting").otherwise("healthy"))
+    d = d.withColumn("reason", F.coalesce("_first", F.when(few, "insufficient_observations")))
+    # runs of healthy windows: islands between the others
+    d = d.withColumn("_island", F.sum((F.col("state") != "healthy").cast("int")).over(upto))
+    nth = F.sum((F.col("state") == "healthy").cast("int")).over(Window.partitionBy(by, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    earned = (F.col("state") == "healthy") & (F.col("_nth") % 3 == 0)
+    return d.withColumn("_nth", nth).withColumn("promoted", F.sum(earned.cast("int")).over(upto)).drop("_slow", "_bad", "_first", "_island", "_nth")

@@ -59,6 +59,17 @@ def hydrate(ids: DataFrame, records: DataFrame, key: str, identity: Sequence[str
     return ids.join(one, key, "left")
 
 
+def mentions(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """``(key, begin, end, word)`` of every match of ``pattern`` in a text, however often a word is
+    repeated. Positions count characters from 1, ``end`` is exclusive. The text is cut at its
+    matches, so that a match begins after all pieces and matches before it. ``key`` names one row;
+    NULL or empty texts have no match; ``pattern`` must not match an empty string."""
+    words = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    parts = rows.select(F.col(key), F.posexplode(F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(words)).alias("gap"), words.alias("word"))).alias("at", "m"))
+    upto = F.sum(F.length("m.gap") + F.length("m.word")).over(Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("end", (upto + 1).cast("int")).select(key, (F.col("end") - F.length("m.word")).alias("begin"), "end", F.col("m.word").alias("word"))
+
+
 def maximal_spans(spans: DataFrame, group: str, begin: str, end: str) -> DataFrame:
     """Spans that no longer span of the group contains: a span is inside another exactly if the
     furthest end among those that start before it, or with it but reach further, covers it."""

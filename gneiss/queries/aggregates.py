@@ -86,7 +86,7 @@ def health(spark, d):
     r = table(spark, d, "results").where("run_id is not null and latency_seconds > 0 and latency_seconds < double('inf')").select("run_id", F.to_date("recorded_at").alias("day"), F.round(F.col("latency_seconds") * 1000, 3).alias("ms"), F.coalesce((F.col("status") == "FAIL").cast("double"), F.lit(0.0)).alias("fail"))
     m = A.metric_summary(r, ["run_id", "day"], "ms", (95, 99), False)
     w = m.join(r.groupBy("run_id", "day").agg(F.round(F.avg("fail"), 6).alias("error_rate")), ["run_id", "day"]).withColumnRenamed("n", "requests").withColumn("baseline_error_rate", F.lit(0.35))
-    return A.canary(w, "run_id", "day").select("run_id", "day", "requests", "state", "reason")
+    return A.canary(w, "run_id", "day").select("run_id", "day", "requests", "state", "reason", "promoted")
 
 
 def graph_counts(spark, d):
@@ -166,8 +166,12 @@ SELECT max(s) AS threshold, value FROM f GROUP BY value""",
 k AS (SELECT run_id, day, ms, fail, row_number() OVER (PARTITION BY run_id, day ORDER BY ms) AS r, count(*) OVER (PARTITION BY run_id, day) AS n FROM r),
 m AS (SELECT run_id, day, max(n) AS requests, min(ms) FILTER (WHERE r = (n * 95 + 99) // 100) AS p95, min(ms) FILTER (WHERE r = (n * 99 + 99) // 100) AS p99, round(avg(fail), 6) AS e FROM k GROUP BY 1, 2),
 s AS (SELECT *, (p95 > 1000 OR p99 > 2000)::INT AS slow FROM m), t AS (SELECT *, slow + lag(slow, 1, 0) OVER w + lag(slow, 2, 0) OVER w AS three FROM s WINDOW w AS (PARTITION BY run_id ORDER BY day)),
-q AS (SELECT *, CASE WHEN requests < 100 THEN 'insufficient_observations' WHEN e > 0.35::DOUBLE THEN 'error_rate_regression' WHEN three = 3 THEN 'latency_budget_three_windows' END AS reason FROM t)
-SELECT run_id, day, requests, CASE WHEN reason = 'insufficient_observations' THEN 'waiting' WHEN reason IS NOT NULL THEN 'rollback' WHEN slow = 1 THEN 'waiting' ELSE 'healthy' END AS state, reason FROM q""",
+q AS (SELECT *, CASE WHEN requests < 100 THEN NULL WHEN e > 0.35::DOUBLE THEN 'error_rate_regression' WHEN three = 3 THEN 'latency_budget_three_windows' END AS bad FROM t),
+f AS (SELECT *, arg_min(bad, day) OVER (PARTITION BY run_id ORDER BY day) AS held FROM q),
+h AS (SELECT *, CASE WHEN held IS NOT NULL THEN 'rollback' WHEN requests < 100 OR slow = 1 THEN 'waiting' ELSE 'healthy' END AS state FROM f),
+i AS (SELECT *, sum((state <> 'healthy')::INT) OVER (PARTITION BY run_id ORDER BY day) AS island FROM h),
+n AS (SELECT *, sum((state = 'healthy')::INT) OVER (PARTITION BY run_id, island ORDER BY day) AS nth FROM i)
+SELECT run_id, day, requests, state, coalesce(held, CASE WHEN requests < 100 THEN 'insufficient_observations' END) AS reason, sum((state = 'healthy' AND nth % 3 = 0)::INT) OVER (PARTITION BY run_id ORDER BY day) AS promoted FROM n""",
     "AGG-19": f"WITH r AS (SELECT DISTINCT doc, {_CODE.format(c='dependent')} AS a, nullif({_CODE.format(c='prerequisite')}, '') AS b FROM edges WHERE doc IS NOT NULL AND dependent IS NOT NULL) SELECT doc, count(DISTINCT a) AS dependents, count(b) AS edges, count(*) FILTER (WHERE b IS NULL) AS open FROM r GROUP BY 1",
     "AGG-20": f"SELECT doc, code, count(DISTINCT p) AS variants, count(DISTINCT doc) AS docs FROM (SELECT doc, {_CODE.format(c='dependent')} AS code, {_CODE.format(c='prerequisite')} AS p FROM edges WHERE doc IS NOT NULL AND dependent IS NOT NULL) WHERE p <> '' GROUP BY 1, 2 HAVING count(DISTINCT p) > 1",
     "AGG-21": """WITH e AS (SELECT chunk_id, doc_id, min(page) AS page, min(content) AS content FROM evidence_records WHERE chunk_id IS NOT NULL AND doc_id IS NOT NULL GROUP BY 1, 2),

@@ -69,11 +69,6 @@ def daily_quota(spark, d):
     return r.groupBy("scope", day.alias("day")).agg(F.count(F.lit(1)).alias("calls"), F.sum(used).alias("tokens"))
 
 
-def latest_state(spark, d):
-    a = table(spark, d, "attempts").where("digest is not null").groupBy("digest").agg(F.max("recorded_at").alias("recorded_at"), F.count(F.lit(1)).alias("states"))
-    return a
-
-
 def latest_attempt(spark, d):
     """Status and turn of the latest attempt of each digest, of equally late ones the highest turn."""
     a = table(spark, d, "attempts").where("digest is not null").select("digest", "recorded_at", "turn", "status")
@@ -108,7 +103,7 @@ def budget(spark, d):
 
 QUERIES = {
     "FN-18": headings, "WIN-04": section_islands, "WIN-06": lambda s, d: section_islands(s, d).groupBy("chunk_id", "section").agg(F.max("offset").alias("last_offset")), "WIN-03": paths, "WIN-05": runs, "WIN-08": marker, "AGG-07": subtotals, "WIN-11": minute, "DT-05": daily_quota,
-    "WIN-12": latest_state, "WIN-12-latest": latest_attempt, "WIN-13": samples, "WIN-15": running_max, "WIN-10": topic_chain, "MA-17": budget,
+    "WIN-12": latest_attempt, "WIN-13": samples, "WIN-15": running_max, "WIN-10": topic_chain, "MA-17": budget,
 }
 
 _L = "c AS (SELECT chunk_id, min(content) AS content FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1), x AS (SELECT chunk_id, regexp_split_to_array(content, '[\\n\\f]') AS a FROM c), l AS (SELECT chunk_id, unnest(generate_series(0, len(a) - 1)) AS pos, unnest(a) AS line FROM x)"
@@ -130,8 +125,7 @@ ORACLES = {
     "AGG-07": "WITH i AS (SELECT *, sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) SELECT user_id, island::BIGINT AS island, count(*) AS n, round(sum(value), 4) AS subtotal FROM i GROUP BY 1, 2",
     "WIN-11": "SELECT event_id, count(*) OVER w AS requests, round(sum(value) OVER w, 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '3599.999999' SECOND PRECEDING AND CURRENT ROW)",
     "DT-05": "WITH r AS (SELECT DISTINCT cache_key, scope, recorded_at, usage FROM responses WHERE scope IS NOT NULL) SELECT scope, (recorded_at + INTERVAL 7 HOUR)::DATE AS day, count(*) AS calls, sum(coalesce(try_cast(CASE WHEN json_valid(usage) THEN usage ->> '$.input_tokens' END AS BIGINT), 0) + coalesce(try_cast(CASE WHEN json_valid(usage) THEN usage ->> '$.output_tokens' END AS BIGINT), 0))::BIGINT AS tokens FROM r GROUP BY 1, 2",
-    "WIN-12-latest": "SELECT digest, recorded_at, turn, status FROM attempts WHERE digest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY digest ORDER BY recorded_at DESC NULLS LAST, turn DESC NULLS LAST, status DESC NULLS LAST) = 1",
-    "WIN-12": "SELECT digest, max(recorded_at) AS recorded_at, count(*) AS states FROM attempts WHERE digest IS NOT NULL GROUP BY 1",
+    "WIN-12": "SELECT digest, recorded_at, turn, status FROM attempts WHERE digest IS NOT NULL QUALIFY row_number() OVER (PARTITION BY digest ORDER BY recorded_at DESC NULLS LAST, turn DESC NULLS LAST, status DESC NULLS LAST) = 1",
     "WIN-13": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM r WHERE n <= 256 GROUP BY 1",
     "WIN-15": "SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM events",
     "WIN-10": f"WITH t AS (SELECT case_id, turn, min(CASE WHEN json_valid(request) THEN request ->> '$.question' END) AS q FROM attempts WHERE case_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2), s AS (SELECT *, NOT regexp_matches(coalesce(q, ''), '{X.CODE}') AS dep FROM t) SELECT case_id, turn, sum((NOT dep)::INT) OVER w AS topic, last_value(CASE WHEN NOT dep THEN turn END IGNORE NULLS) OVER w AS anchor FROM s WINDOW w AS (PARTITION BY case_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",

@@ -120,11 +120,11 @@ def predictions(spark, d):
 
 
 def spans(spark, d):
-    """Longest numbers in the questions: digit runs and codes, without those inside longer ones."""
+    """Longest numbers in the questions, each where it stands: digit runs and codes, without those
+    inside longer ones."""
     q = table(spark, d, "traces").where("request_id is not null").groupBy("request_id").agg(F.min("request.question").alias("q"))
-    found = lambda p: q.select("request_id", F.explode_outer(F.regexp_extract_all("q", F.lit(f"({p})"), F.lit(1))).alias("w"), "q").where("w is not null").select("request_id", F.instr("q", F.col("w")).alias("b"), (F.instr("q", F.col("w")) + F.length("w")).alias("e"), "w")
-    s = found(r"[0-9]+").unionByName(found(r"[A-Z]{4}[0-9]{4}")).distinct()
-    return J.maximal_spans(s, "request_id", "b", "e").select("request_id", "b", "e", "w")
+    digits, codes = (J.mentions(q, "request_id", "q", p) for p in ("[0-9]+", "[A-Z]{4}[0-9]{4}"))
+    return J.maximal_spans(digits.unionByName(codes), "request_id", "begin", "end").select("request_id", F.col("begin").alias("b"), F.col("end").alias("e"), F.col("word").alias("w"))
 
 
 def _edges(spark, d):
@@ -191,10 +191,10 @@ ORACLES = {
     "LK-19": f"WITH {_V}, n AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE start <= DATE '{_AT}' AND (\"end\" IS NULL OR DATE '{_AT}' < \"end\")) AS k, min(version) FILTER (WHERE start <= DATE '{_AT}' AND (\"end\" IS NULL OR DATE '{_AT}' < \"end\")) AS version FROM v GROUP BY 1) SELECT c_custkey, CASE WHEN n IS NULL THEN 'insufficient_evidence' WHEN k = 0 THEN 'no_effective_version' WHEN k > 1 THEN 'conflict' ELSE 'resolved' END AS status, CASE WHEN k = 1 THEN version END AS version FROM customer LEFT JOIN n ON c_custkey = o_custkey",
     "JN-03": "WITH r AS (SELECT chunk_id, min(doc_id) AS doc_id, min(source_name) AS source_name, count(DISTINCT (coalesce(doc_id, chr(0)), coalesce(source_name, chr(0)))) > 1 AS conflict FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT DISTINCT i.chunk_id, r.doc_id, r.source_name, conflict FROM retrieval_results i LEFT JOIN r USING (chunk_id) WHERE i.chunk_id IS NOT NULL",
     "JN-05": f"WITH {_CH} SELECT chunk_id, lag(chunk_id) OVER w AS before, lead(chunk_id) OVER w AS after FROM e WINDOW w AS (PARTITION BY doc_id ORDER BY page, chunk_id)",
-    "JN-16": "WITH e AS (SELECT chunk_id, min(content) AS body, min(page) AS p FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT DISTINCT chunk_id, page FROM retrieval_results JOIN e USING (chunk_id) WHERE contains(body, substr(content, 1, 80)) AND p = page",
-    "VF-03": "WITH e AS (SELECT chunk_id, min(doc_id) AS d, min(content) AS body, min(page) AS p FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1), r AS (SELECT DISTINCT query_id, chunk_id, doc_id, page, substr(content, 1, 60) AS quote FROM retrieval_results) SELECT query_id, chunk_id, page, concat_ws(',', CASE WHEN d IS NULL THEN 'unknown_chunk' END, CASE WHEN d IS NOT NULL AND d IS DISTINCT FROM doc_id THEN 'other_document' END, CASE WHEN d IS NOT NULL AND p IS DISTINCT FROM page THEN 'other_page' END, CASE WHEN d IS NOT NULL AND NOT coalesce(contains(body, quote), false) THEN 'quote_not_found' END) AS errors FROM r LEFT JOIN e USING (chunk_id)",
+    "JN-16": "WITH e AS (SELECT chunk_id, min(content) AS body, min(page) AS p FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1) SELECT DISTINCT chunk_id, page FROM retrieval_results JOIN e USING (chunk_id) WHERE contains(body, content) AND p = page",
+    "VF-03": "WITH e AS (SELECT chunk_id, min(doc_id) AS d, min(content) AS body, min(page) AS p FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1), r AS (SELECT DISTINCT query_id, chunk_id, doc_id, page, content AS quote FROM retrieval_results) SELECT query_id, chunk_id, page, concat_ws(',', CASE WHEN d IS NULL THEN 'unknown_chunk' END, CASE WHEN d IS NOT NULL AND d IS DISTINCT FROM doc_id THEN 'other_document' END, CASE WHEN d IS NOT NULL AND p IS DISTINCT FROM page THEN 'other_page' END, CASE WHEN d IS NOT NULL AND NOT coalesce(contains(body, quote), false) THEN 'quote_not_found' END) AS errors FROM r LEFT JOIN e USING (chunk_id)",
     "JN-20": "WITH a AS (SELECT case_id, count(*) AS answers FROM saved_answers WHERE case_id IS NOT NULL GROUP BY 1), r AS (SELECT case_id, count(*) AS results FROM results WHERE case_id IS NOT NULL GROUP BY 1) SELECT case_id, coalesce(answers, 0) AS answers, coalesce(results, 0) AS results FROM a FULL JOIN r USING (case_id)",
-    "JN-19": "WITH q AS (SELECT request_id, min(request.question) AS q FROM traces WHERE request_id IS NOT NULL GROUP BY 1), w AS (SELECT request_id, q, unnest(list_concat(regexp_extract_all(q, '[0-9]+'), regexp_extract_all(q, '[A-Z]{4}[0-9]{4}'))) AS w FROM q), s AS (SELECT DISTINCT request_id, instr(q, w) AS b, instr(q, w) + length(w) AS e, w FROM w) SELECT request_id, b::INT AS b, e::INT AS e, w FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.request_id = s.request_id AND t.b <= s.b AND t.e >= s.e AND (t.b, t.e) <> (s.b, s.e))",
+    "JN-19": "WITH q AS (SELECT request_id, min(request.question) AS q FROM traces WHERE request_id IS NOT NULL GROUP BY 1), p AS (SELECT request_id, unnest([{'p': regexp_split_to_array(q, '[0-9]+'), 'm': regexp_extract_all(q, '[0-9]+')}, {'p': regexp_split_to_array(q, '[A-Z]{4}[0-9]{4}'), 'm': regexp_extract_all(q, '[A-Z]{4}[0-9]{4}')}]) AS x FROM q), i AS (SELECT request_id, x, unnest(generate_series(1, len(x.m))) AS i FROM p), s AS (SELECT request_id, 1 + list_sum(list_transform(x.p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(x.m[1:i - 1], lambda y: length(y))), 0) AS b, x.m[i] AS w FROM i), t AS (SELECT request_id, b, b + length(w) AS e, w FROM s) SELECT request_id, b::INT AS b, e::INT AS e, w FROM t WHERE NOT EXISTS (SELECT 1 FROM t u WHERE u.request_id = t.request_id AND u.b <= t.b AND u.e >= t.e AND (u.b, u.e) <> (t.b, t.e))",
     "JN-06": f"WITH {_E} SELECT DISTINCT e.doc, e.dependent AS code, found FROM e JOIN one ON one.doc = e.doc AND one.dependent = e.dependent",
     "JN-07": f"WITH {_E} SELECT a.doc, a.dependent AS code, a.found AS via, b.found FROM one a JOIN one b ON a.doc = b.doc AND a.found = b.dependent WHERE b.found <> a.dependent AND b.found <> a.found",
     "JN-08": f"WITH {_E}, k AS (SELECT DISTINCT doc, dependent AS code FROM e WHERE prerequisite IS NULL AND dependent IS NOT NULL), i AS (SELECT doc, prerequisite AS code, dependent AS found, count(*) OVER (PARTITION BY doc, prerequisite) AS n FROM s ANTI JOIN k ON k.doc = s.doc AND k.code = s.prerequisite) SELECT doc, code, found FROM i WHERE n <= 40",

@@ -123,7 +123,7 @@ _QT, _ST = tokens_sql("coalesce(q, '')"), tokens_sql("sentence")
 ORACLES = {
     "RNK-07": f"WITH {_Q} SELECT request_id, CASE WHEN regexp_matches(regexp_replace(coalesce(q, ''), '[\\x{{C0}}-\\x{{1FFF}}\\x{{FF10}}-\\x{{FF5A}}]', '_', 'g'), '{X.CODE}') THEN 'exact_code' WHEN docs > 1 THEN 'filtered_hybrid_rrf' ELSE 'hybrid_rrf' END AS route FROM q",
     "DT-03": f"WITH {_Q}, f AS (SELECT request_id, {_F} AS f FROM q) SELECT request_id, CASE WHEN len(list_distinct(regexp_extract_all(f, '\\b(?:19|20)\\d{{2}}\\b'))) >= 2 AND regexp_matches(f, '\\b(?:compare|difference|so sanh|khac nhau|comparer)\\b') THEN 'compare' WHEN regexp_matches(f, '\\b(?:class of|cohort|khoa|academic year|nam hoc|promotion) (?:19|20)\\d{{2}}\\b') THEN 'explicit_period' WHEN regexp_matches(f, '\\b(?:as of|on|from|tinh den|ngay) \\d{{1,2}}[/-]\\d{{1,2}}[/-]\\d{{4}}') THEN 'as_of' WHEN regexp_matches(f, '\\b(?:latest|newest|current|currently|moi nhat|hien hanh|actuel|actuelle)\\b') THEN 'latest' ELSE 'none' END AS intent FROM f",
-    "FN-15": "SELECT regexp_replace(lower(document_version), '[\\s\\p{P}]+', '', 'g') AS version, count(*) AS n FROM evidence_records WHERE document_version IS NOT NULL GROUP BY 1",
+    "FN-15": f"SELECT regexp_replace({fold_sql('document_version')}, '[^a-z0-9]', '', 'g') AS version, count(*) AS n FROM evidence_records WHERE document_version IS NOT NULL GROUP BY 1",
     "SNK-09": f"WITH {_Q} SELECT sha256(trim(regexp_replace(lower(coalesce(q, '')), '\\s+', ' ', 'g'))) AS key, count(*) AS n FROM q GROUP BY 1 HAVING count(*) > 1",
     "FN-27": "SELECT DISTINCT sha256(concat_ws(chr(31), run_id, case_id, coalesce(status, chr(0)), coalesce(final_answer, chr(0)))) AS fingerprint FROM results WHERE run_id IS NOT NULL AND case_id IS NOT NULL",
     "MA-16": "WITH e AS (SELECT user_id, count(*) AS done, round(sum(value), 4) AS elapsed FROM events GROUP BY 1) SELECT user_id, CASE WHEN elapsed > 0 THEN greatest(1, least(40, floor(600.0::DOUBLE * done / elapsed))) ELSE 1 END::INT AS batch FROM e",

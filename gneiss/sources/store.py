@@ -11,9 +11,11 @@ from gneiss.operators.aggregates import fingerprint
 
 
 class Store:
-    """Tables in a folder, each as generations ``name/g-<id>``; the pointer ``name/CURRENT`` names
-    the one that readers see. A write fills a new generation and then swaps the pointer, so that
-    readers never see half of it and a failed write leaves the old state."""
+    """Tables in a folder, each as generations ``name/g-<id>``; pointers ``name/CURRENT/<number>`` hold
+    a generation's name, and the one with the highest number is what readers see. A write fills a new
+    generation and then adds a pointer in one step, so readers never see half of it or nothing, and a
+    failed write leaves the old state. Two writers can't take the same number: the later one tries
+    the next."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -23,11 +25,13 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def generation(self, name: str) -> str | None:
+    def _pointers(self, name: str) -> list[str]:
         fs, p = self._fs(f"{self.root}/{name}/CURRENT")
-        if not fs.exists(p):
-            return None
-        return self.spark.read.text(str(p)).first()[0]
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.getPath().getName().isdigit()) if fs.exists(p) else []
+
+    def generation(self, name: str) -> str | None:
+        known = self._pointers(name)
+        return self.spark.read.text(f"{self.root}/{name}/CURRENT/{known[-1]}").first()[0] if known else None
 
     def read(self, name: str) -> DataFrame | None:
         g = self.generation(name)
@@ -41,14 +45,19 @@ class Store:
         return g
 
     def swap(self, name: str, generation: str) -> None:
-        fs, staged = self._fs(f"{self.root}/{name}/.CURRENT-{uuid.uuid4().hex}")
+        """Make ``generation`` what readers see. The pointer is written aside and renamed to the next
+        free number, which fails where another writer has taken it."""
+        fs, staged = self._fs(f"{self.root}/{name}/.staged-{uuid.uuid4().hex}")
         out = fs.create(staged, True)
         out.write(bytearray(generation.encode()))
         out.close()
-        _, p = self._fs(f"{self.root}/{name}/CURRENT")
-        fs.delete(p, False)
-        if not fs.rename(staged, p):
-            raise OSError(f"pointer of {name} was not swapped")
+        fs.mkdirs(self._fs(f"{self.root}/{name}/CURRENT")[1])
+        for _ in range(100):
+            known = self._pointers(name)
+            _, p = self._fs(f"{self.root}/{name}/CURRENT/{int(known[-1]) + 1 if known else 1:020}")
+            if not fs.exists(p) and fs.rename(staged, p):
+                return
+        raise OSError(f"pointer of {name} was not swapped")
 
     def upsert(self, name: str, rows: DataFrame, key: str) -> str:
         """New rows replace those of the same key."""
