@@ -189,25 +189,87 @@ def bounded(rows: DataFrame, by: Sequence[str], most: int) -> DataFrame:
     return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by))).where(F.col("_n") <= most).drop("_n")
 
 
-def hybrid(items: DataFrame, questions: DataFrame, k: int = 5, embedding=None, rrf_k: float = 3.0, candidates: int = 40) -> DataFrame:
+def exact_route(items: DataFrame, questions: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Route of every question by the codes it names, and the items that hold one of them.
+
+    ``items (item_id, doc_id, content)``, ``questions (query_id, question)``. The first result is
+    ``(query_id, codes, candidates, documents, route)``: ``exact_code`` where one code is named and one
+    document has between one and ``k`` items with it; ``no_candidate`` where no item holds a code
+    asked for; ``ambiguous`` where there are several codes or documents or too many items, which the
+    hybrid search resolves with the exact list as a further ranker; ``hybrid_rrf`` without a code. The
+    second is ``(query_id, item_id, doc_id)``. Texts are searched whole; NULL texts hold no code."""
+    from gneiss.functions.text import detected_codes
+
+    codes = lambda c: F.explode_outer(F.array_distinct(detected_codes(F.coalesce(F.col(c), F.lit("")))))
+    asked = questions.select("query_id", codes("question").alias("code"))
+    held = items.select("item_id", "doc_id", codes("content").alias("code")).where("code is not null")
+    found = asked.where("code is not null").join(held, "code").select("query_id", "item_id", "doc_id").distinct()
+    counts = found.groupBy("query_id").agg(F.count_distinct("item_id").alias("candidates"), F.count_distinct("doc_id").alias("documents"))
+    n = asked.groupBy("query_id").agg(F.count("code").alias("codes")).join(counts, "query_id", "left").fillna(0, ["candidates", "documents"])
+    route = (
+        F.when(F.col("codes") == 0, "hybrid_rrf").when(F.col("candidates") == 0, "no_candidate")
+        .when((F.col("codes") == 1) & (F.col("documents") == 1) & (F.col("candidates") <= k), "exact_code").otherwise("ambiguous")
+    )
+    return n.select("query_id", "codes", "candidates", "documents", route.alias("route")), found
+
+
+#: Modes of ``hybrid``: which rankers take part.
+MODES = {"hybrid_rrf": ("bm25", "dense"), "bm25": ("bm25",), "dense": ("dense",), "exact_code": ("bm25", "dense", "exact"), "body_rrf": ("bm25", "dense", "body")}
+
+
+def hybrid(items: DataFrame, questions: DataFrame, k: int = 5, embedding=None, rrf_k: float = 3.0, candidates: int = 40, mode: str = "hybrid_rrf", eligible: DataFrame | None = None, threshold: float = 0.0) -> DataFrame:
     """Hybrid search of ``questions (query_id, question)`` over ``items (item_id, content)``: BM25
     and vectors, fused by reciprocal ranks with weights 1.0 and 1.2, with a confidence from
-    lexical overlap, cosine and agreement. Refused and empty questions get an abstention row."""
+    lexical overlap, cosine and agreement. Refused and empty questions get an abstention row.
+
+    ``mode`` is one of ``MODES``. ``body_rrf`` adds a ranking of the texts without their first line.
+    ``exact_code`` needs ``doc_id`` in ``items``: questions of one unambiguous code get its items
+    alone, ambiguous ones have the exact list as a further ranker, a code that no item holds
+    abstains. ``eligible (item_id)`` restricts the results, not the statistics. Lists whose best
+    confidence is below ``threshold`` are refused whole."""
     from gneiss.functions.text import hash_embedding, overlap, query_guard, tokens
 
     embedding = embedding or hash_embedding
     guarded = questions.withColumn("guard", query_guard(F.col("question")))
     asked = guarded.where("guard is null")
-    counts = keep(term_counts(items, "item_id", "content"))
-    lexical = top_k(bm25(counts, corpus_stats(items, counts), query_terms(asked, "query_id", "question")), candidates)
-    vectors = items.select("item_id", embedding("content").alias("vector"))
-    dense = top_k(dense_search(vectors, asked.select("query_id", embedding("question").alias("vector")), candidates), candidates)
-    fused = rrf({"bm25": lexical, "dense": dense}, rrf_k, {"bm25": 1.0, "dense": 1.2})
+    rankers = MODES[mode]
+    terms = query_terms(asked, "query_id", "question")
+    allowed = items if eligible is None else items.join(eligible.select("item_id").distinct(), "item_id", "left_semi")
+
+    def lexical(some: DataFrame) -> DataFrame:
+        counts = keep(term_counts(some, "item_id", "content"))
+        return top_k(bm25(counts, corpus_stats(some, counts), terms, eligible), candidates)
+
+    lists: dict[str, DataFrame] = {}
+    if "bm25" in rankers:
+        lists["bm25"] = lexical(items)
+    if "body" in rankers:
+        lists["body"] = lexical(items.withColumn("content", F.regexp_replace("content", r"\A[^\n]*\n", "")))
+    if "dense" in rankers:
+        vectors = allowed.select("item_id", embedding("content").alias("vector"))
+        lists["dense"] = top_k(dense_search(vectors, asked.select("query_id", embedding("question").alias("vector")), candidates), candidates)
+    if "exact" in rankers:
+        route, exact = exact_route(allowed, asked, k)
+        scored = exact.join(lists["bm25"].select("query_id", "item_id", "score"), ["query_id", "item_id"], "left").fillna(0.0, ["score"])
+        lists["exact"] = top_k(scored, candidates).select("query_id", "item_id", "score", "rank")
+        # one unambiguous code: its items alone; a code that nothing holds: nothing
+        alone = route.where("route in ('exact_code', 'no_candidate')").select("query_id")
+        lists = {n: r if n == "exact" else r.join(alone, "query_id", "left_anti") for n, r in lists.items()}
+    fused = rrf(lists, rrf_k, {"dense": 1.2})
     best = top_k(fused.withColumnRenamed("fusion_score", "score"), k)
+    dense = lists["dense"] if "dense" in lists else lists["bm25"].where("false")
     cosine = dense.select("query_id", "item_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score"))).alias("dense_cosine"))
     rows = best.join(cosine, ["query_id", "item_id"], "left").join(items, "item_id").join(asked.select("query_id", "question"), "query_id")
     long = lambda c: F.filter(tokens(F.col(c)), lambda t: F.length(t) >= 3)
     rows = rows.withColumn("lexical_overlap", overlap(long("question"), tokens(F.col("content")))).withColumn("agreement", (F.size("retriever_sources") > 1).cast("double")).withColumn("dense_cosine", F.coalesce("dense_cosine", F.lit(0.0)))
     found = rows.select("query_id", "item_id", "rank", "score", "retriever_sources", linear_confidence().alias("confidence"))
+    weak = None
+    if threshold > 0:
+        kept = accept(found, threshold)
+        weak = found.select("query_id").distinct().join(kept.select("query_id").distinct(), "query_id", "left_anti")
+        found = kept
     refused = guarded.where("guard is not null").select("query_id", F.col("guard").alias("abstention"))
+    if weak is not None:
+        refused = refused.unionByName(weak.withColumn("abstention", F.lit("below_score_threshold")))
+        asked = asked.join(weak, "query_id", "left_anti")
     return with_abstentions(found, asked).unionByName(refused, allowMissingColumns=True)

@@ -68,6 +68,20 @@ def ratio(rows: DataFrame, by: Sequence[str], order: str, value: str) -> DataFra
     return g.where((F.col("_n") == 2) & F.col("old").isNotNull() & F.col("new").isNotNull() & (F.col("old") != 0)).select(*by, "old", "new", (F.col("new") / F.col("old")).alias("ratio"))
 
 
+def year_binding(cells: DataFrame, label: str, header: str, value: str, asked: DataFrame) -> DataFrame:
+    """``asked (label, year, value)`` with ``status`` against table cells of a row label, a column header
+    and a value: ``bound`` where the cells of the label, folded, under headers naming that year alone
+    have one distinct value and it is the one asked, ``different`` where it is another,
+    ``ambiguous`` where there are several or one can't be read, ``absent`` where there is none. A header
+    that names two years belongs to neither."""
+    years = F.array_distinct(F.regexp_extract_all(header, F.lit(r"(?<![0-9])((?:19|20)[0-9]{2})(?![0-9])"), F.lit(1)))
+    c = cells.select(fold(F.col(label)).alias("_l"), F.when(F.size(years) == 1, years[0].cast("int")).alias("_y"), F.col(value).alias("_v")).where("_l is not null and _y is not null")
+    one = c.groupBy("_l", "_y").agg(F.lit(True).alias("_any"), unanimous(F.col("_v")).alias("_one"))
+    j = asked.join(one, (fold(asked["label"]) == one["_l"]) & (asked["year"] == one["_y"]), "left")
+    status = F.when(F.col("_any").isNull(), "absent").when(F.col("_one").isNull(), "ambiguous").when(F.col("_one").eqNullSafe(asked["value"]), "bound").otherwise("different")
+    return j.select(*[asked[x] for x in asked.columns], status.alias("status"))
+
+
 def row_batches(rows: DataFrame, by: Sequence[str], order: str, text: str, budget: int) -> DataFrame:
     """Pack ordered rows greedily into batches of at most ``budget`` characters, never inside a
     row (a longer row stands alone). Adds ``batch``. A table's rows are folded in one pass over

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.functions.text import detected_codes, fold, overlap, tokens
@@ -98,6 +100,21 @@ def align(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return g.select("claim_id", "scope", "text", F.round("best", 6).alias("best"), status.alias("status"), F.when(F.col("best") > 0, F.col("evidence")).alias("evidence"))
 
 
+def handles(results: DataFrame, by: str, item: str, order: Sequence[Column], prefix: str = "ev") -> DataFrame:
+    """``(by, item, handle)``: short names of the items of each request, numbered from 1 in the order in
+    which they first come."""
+    first = results.where(F.col(by).isNotNull() & F.col(item).isNotNull()).groupBy(by, item).agg(F.min(F.struct(*order)).alias("_o"))
+    return first.select(by, item, F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(by).orderBy("_o", item))).alias("handle"))
+
+
+def restore_handles(cited: DataFrame, known: DataFrame, by: str, handle: str, item: str) -> DataFrame:
+    """``cited`` with the ``item`` that each handle names in its own request, and ``error`` for a handle,
+    or NULL, that names none there; full item ids are no handles."""
+    k = known.select(F.col(by).alias("_by"), F.col("handle").alias("_h"), F.col(item))
+    j = cited.join(k, (cited[by] == k["_by"]) & (cited[handle] == k["_h"]), "left").drop("_by", "_h")
+    return j.withColumn("error", F.when(F.col(item).isNull(), "unknown_handle"))
+
+
 def decide(aligned: DataFrame, flags: DataFrame) -> DataFrame:
     """``(scope, status, reason)`` for every row of ``flags (scope, provider_error,
     invalid_citation, has_conflict, ambiguous, provider_abstained)`` by ordered rules."""

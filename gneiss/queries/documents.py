@@ -65,6 +65,14 @@ def _evidence(spark, d):
     return table(spark, d, "retrieval_results").where("query_id is not null and chunk_id is not null").groupBy(F.col("query_id").alias("scope"), F.col("chunk_id").alias("item_id")).agg(F.min("content").alias("content"))
 
 
+def cited_chunks(spark, d):
+    """Chunks that the claims' short citation names stand for, by the rank of the request's results."""
+    r = table(spark, d, "retrieval_results").where("query_id is not null").select(F.col("query_id").alias("scope"), F.col("chunk_id").alias("item_id"), F.coalesce("rank", F.lit(1_000_000)).alias("rank"))
+    known = V.handles(r, "scope", "item_id", [F.col("rank")], "L")
+    cited = _claims(spark, d).select("claim_id", "scope", F.explode_outer(F.array_distinct("citation_ids")).alias("handle")).where("handle is not null")
+    return V.restore_handles(cited, known, "scope", "handle", "item_id").select("claim_id", "handle", "item_id", "error")
+
+
 def claim_markers(spark, d):
     return _claims(spark, d).select("claim_id", F.array_join(F.array_sort(V.markers(F.col("text"))), ",").alias("markers"))
 
@@ -105,7 +113,7 @@ def contract(spark, d):
     return a.select("request_id", F.array_join(e, ",").alias("errors"))
 
 
-QUERIES = {"TBX-02": text_tables, "JS-02": course_credits, "LK-11": credit_sums, "JS-01": json_tables, "MA-10": ratios, "JS-04": batches, "VF-14": claim_markers, "VF-01": aligned, "VF-02": decisions, "VF-10": reasons, "JS-08": contract}
+QUERIES = {"TBX-02": text_tables, "JS-02": course_credits, "LK-11": credit_sums, "JS-01": json_tables, "MA-10": ratios, "JS-04": batches, "VF-08": cited_chunks, "VF-14": claim_markers, "VF-01": aligned, "VF-02": decisions, "VF-10": reasons, "JS-08": contract}
 
 _L = "c AS (SELECT chunk_id, min(content) AS content FROM evidence_records WHERE chunk_id IS NOT NULL GROUP BY 1), x AS (SELECT chunk_id, regexp_split_to_array(content, '[\\n\\f]') AS a FROM c), l AS (SELECT chunk_id, unnest(generate_series(0, len(a) - 1)) AS pos, unnest(a) AS line FROM x)"
 _T = _L + ", p AS (SELECT chunk_id, pos, list_transform(string_split(regexp_replace(trim(line), '^\\||\\|$', '', 'g'), '|'), lambda y: trim(y)) AS cells FROM l WHERE contains(line, '|')), q AS (SELECT *, pos - row_number() OVER (PARTITION BY chunk_id ORDER BY pos) AS t FROM p WHERE len(cells) >= 2), r AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, t) AS n, max(len(cells)) OVER (PARTITION BY chunk_id, t) AS w, row_number() OVER (PARTITION BY chunk_id, t ORDER BY pos) - 1 AS row FROM q), tb AS (SELECT * FROM r WHERE n >= 2)"
@@ -120,5 +128,6 @@ ORACLES = {
     "JS-08": """WITH l AS (SELECT request_id, response, row_number() OVER (PARTITION BY request_id ORDER BY saved_at DESC) AS n FROM saved_answers WHERE request_id IS NOT NULL), a AS (SELECT request_id, response.answer AS a, coalesce(response.answer.abstained, false) AS ab FROM l WHERE n = 1)
 SELECT request_id, concat_ws(',', CASE WHEN a IS NULL THEN 'no_answer' END, CASE WHEN a IS NOT NULL AND a.schema_version IS NULL THEN 'no_schema_version' END, CASE WHEN a IS NOT NULL AND NOT ab AND regexp_full_match(coalesce(a.answer, ''), '[\\s\\p{Z}]*') THEN 'empty_answer' END, CASE WHEN a IS NOT NULL AND NOT ab AND coalesce(len(a.claims), 0) = 0 THEN 'no_claim' END,
   CASE WHEN a IS NOT NULL AND NOT ab AND coalesce(len(a.citations), 0) = 0 THEN 'no_citation' END, CASE WHEN a IS NOT NULL AND ab AND a.abstention_reason IS NULL THEN 'no_reason' END) AS errors FROM a""",
+    "VF-08": "WITH c AS (SELECT request_id, unnest(response.answer.claims) AS c, unnest(generate_series(0, len(response.answer.claims) - 1)) AS i FROM saved_answers WHERE request_id IS NOT NULL), m AS (SELECT request_id, request_id || '-' || i AS claim_id, arg_min(c.citation_ids, c.text) AS ids FROM c WHERE c.text IS NOT NULL GROUP BY 1, 2), u AS (SELECT DISTINCT request_id, claim_id, unnest(ids) AS handle FROM m), f AS (SELECT query_id, chunk_id, min(coalesce(rank, 1000000)) AS o FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2), h AS (SELECT query_id, chunk_id, 'L' || row_number() OVER (PARTITION BY query_id ORDER BY o, chunk_id) AS handle FROM f) SELECT claim_id, u.handle, chunk_id AS item_id, CASE WHEN chunk_id IS NULL THEN 'unknown_handle' END AS error FROM u LEFT JOIN h ON h.query_id = u.request_id AND h.handle = u.handle WHERE u.handle IS NOT NULL",
     "VF-10": "SELECT CASE response.answer.abstention_reason WHEN 'no_evidence_found' THEN 'insufficient_evidence' WHEN 'no_candidate' THEN 'insufficient_evidence' WHEN 'below_score_threshold' THEN 'insufficient_evidence' WHEN 'provider_error' THEN 'provider_error' WHEN 'ambiguous_question' THEN 'ambiguous_question' ELSE 'unsupported_claim' END AS reason, count(*) AS n FROM saved_answers WHERE response.answer.abstention_reason IS NOT NULL GROUP BY 1",
 }

@@ -199,5 +199,6 @@ ORACLES = {
     "JN-07": f"WITH {_E} SELECT a.doc, a.dependent AS code, a.found AS via, b.found FROM one a JOIN one b ON a.doc = b.doc AND a.found = b.dependent WHERE b.found <> a.dependent AND b.found <> a.found",
     "JN-08": f"WITH {_E}, k AS (SELECT DISTINCT doc, dependent AS code FROM e WHERE prerequisite IS NULL AND dependent IS NOT NULL), i AS (SELECT doc, prerequisite AS code, dependent AS found, count(*) OVER (PARTITION BY doc, prerequisite) AS n FROM s ANTI JOIN k ON k.doc = s.doc AND k.code = s.prerequisite) SELECT doc, code, found FROM i WHERE n <= 40",
     "FLT-10": f"WITH q AS (SELECT request_id, min(request.question) AS q FROM traces WHERE request_id IS NOT NULL GROUP BY 1), c AS (SELECT DISTINCT request_id, upper(unnest(regexp_extract_all(q, '{X.CODE}'))) AS code FROM q), d AS (SELECT DISTINCT doc_id, upper(unnest(regexp_extract_all(content, '{X.CODE}'))) AS code FROM evidence_records WHERE doc_id IS NOT NULL), n AS (SELECT request_id, count(*) AS need FROM c GROUP BY 1) SELECT request_id, doc_id FROM c JOIN d USING (code) JOIN n USING (request_id) GROUP BY request_id, doc_id, need HAVING count(*) = need",
+    "FLT-15": "WITH RECURSIVE " + _E.split(", s AS")[0] + ", x AS (SELECT doc || '/' || dependent AS a, doc || '/' || coalesce(prerequisite, dependent) AS b FROM e WHERE dependent IS NOT NULL), l AS (SELECT DISTINCT a, b FROM x UNION SELECT b, a FROM x), r AS (SELECT DISTINCT a AS node, a AS component FROM l UNION SELECT l.b, r.component FROM r JOIN l ON l.a = r.node) SELECT node, min(component) AS component FROM r GROUP BY 1",
     "FLT-13": "WITH t AS (SELECT DISTINCT request_id, unnest(request.doc_ids) AS doc_id FROM traces WHERE request_id IS NOT NULL), k AS (SELECT DISTINCT doc_id, true AS known FROM evidence_records WHERE doc_id IS NOT NULL) SELECT request_id, count(known) AS authorized, count(*) FILTER (WHERE known IS NULL) AS unknown FROM t LEFT JOIN k USING (doc_id) WHERE doc_id IS NOT NULL GROUP BY 1",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gneiss.functions import requests as Q
 from gneiss.functions import text as X
+from gneiss.operators.ranking import exact_route
+from gneiss.operators.tables import year_binding
 from gneiss.queries.aggregates import fold_sql
 from gneiss.queries.ranking import tokens_sql
 from gneiss.runtime import table
@@ -87,11 +89,10 @@ def excerpts(spark, d):
 
 
 def exact_code(spark, d):
-    """Retrieved chunks that hold a code of the question."""
-    q = table(spark, d, "traces").where("request_id is not null").groupBy(F.col("request_id").alias("query_id")).agg(F.min("request.question").alias("q"))
-    codes = q.select("query_id", F.explode_outer(X.detected_codes(F.coalesce("q", F.lit("")))).alias("code")).where("code is not null")
-    held = _r(spark, d).select("query_id", "chunk_id", F.explode_outer(X.detected_codes(F.coalesce("content", F.lit("")))).alias("code")).where("code is not null")
-    return codes.join(held, ["query_id", "code"]).select("query_id", "chunk_id", "code").distinct()
+    """Route of every question by its codes over the whole evidence."""
+    q = _q(spark, d).select(F.col("request_id").alias("query_id"), F.col("q").alias("question"))
+    e = table(spark, d, "evidence_records").where("chunk_id is not null").select(F.col("chunk_id").alias("item_id"), "doc_id", "content")
+    return exact_route(e, q, 5)[0]
 
 
 def linked_rows(spark, d):
@@ -104,10 +105,13 @@ def linked_rows(spark, d):
 
 
 def year_cells(spark, d):
-    """Yearly totals of customers spread into columns and looked up by label and year again."""
-    y = table(spark, d, "orders").groupBy("o_custkey").agg(*[F.round(F.sum(F.when(F.year("o_orderdate") == k, F.col("o_totalprice"))), 2).alias(f"y{k}") for k in (1995, 1996, 1997)])
-    long = y.unpivot(["o_custkey"], ["y1995", "y1996", "y1997"], "year", "value")
-    return long.where("value is not null").select("o_custkey", F.substring("year", 2, 4).cast("int").alias("year"), "value")
+    """Yearly totals of nations, claimed from the finished orders, against the cells of three tables,
+    one an order status: the claim is bound only where all tables have one value for it."""
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    cells = o.groupBy("o_orderstatus", "n_name", F.concat(F.lit("FY "), F.year("o_orderdate").cast("string")).alias("header")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    asked = o.where("o_orderstatus = 'F'").groupBy(F.upper("n_name").alias("label"), F.year("o_orderdate").alias("year")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return year_binding(cells, "n_name", "header", "value", asked).select("label", "year", "status")
 
 
 QUERIES = {
@@ -133,7 +137,7 @@ ORACLES = {
     "TOP-06": f"WITH {_R} SELECT query_id, doc_id, chunk_id, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id)::INT AS rank FROM r WHERE doc_id IS NOT NULL QUALIFY rank <= 2",
     "SET-01": "SELECT DISTINCT query_id, chunk_id, unnest(map_keys(retriever_ranks)) AS retriever, unnest(map_values(retriever_ranks)) AS rank FROM retrieval_results WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND retriever_ranks IS NOT NULL",
     "FN-14": f"WITH {_R}, q AS (SELECT request_id AS query_id, min(request.question) AS q FROM traces WHERE request_id IS NOT NULL GROUP BY 1), x AS (SELECT query_id, chunk_id, {_SENT} AS s FROM r), y AS (SELECT query_id, chunk_id, unnest(generate_series(0, len(s) - 1)) AS pos, unnest(s) AS sentence FROM x), z AS (SELECT query_id, chunk_id, pos, round(len(list_intersect(list_distinct({_QT}), {_ST})) / greatest(1, len(list_distinct({_QT})))::DOUBLE, 6) AS score FROM y JOIN q USING (query_id)) SELECT query_id, chunk_id, pos::INT AS pos, score FROM z QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, pos) = 1",
-    "RNK-06": f"WITH {_R}, q AS (SELECT request_id AS query_id, min(request.question) AS q FROM traces WHERE request_id IS NOT NULL GROUP BY 1), a AS (SELECT DISTINCT query_id, upper(unnest(regexp_extract_all(coalesce(q, ''), '{X.CODE}'))) AS code FROM q), b AS (SELECT DISTINCT query_id, chunk_id, upper(unnest(regexp_extract_all(coalesce(content, ''), '{X.CODE}'))) AS code FROM r) SELECT query_id, chunk_id, code FROM a JOIN b USING (query_id, code)",
+    "RNK-06": f"WITH {_Q}, a AS (SELECT DISTINCT request_id AS query_id, upper(unnest(regexp_extract_all(regexp_replace(coalesce(q, ''), '[\\x{{C0}}-\\x{{1FFF}}\\x{{FF10}}-\\x{{FF5A}}]', '_', 'g'), '{X.CODE}'))) AS code FROM q), h AS (SELECT DISTINCT chunk_id, doc_id, upper(unnest(regexp_extract_all(regexp_replace(coalesce(content, ''), '[\\x{{C0}}-\\x{{1FFF}}\\x{{FF10}}-\\x{{FF5A}}]', '_', 'g'), '{X.CODE}'))) AS code FROM evidence_records WHERE chunk_id IS NOT NULL), f AS (SELECT query_id, count(DISTINCT chunk_id) AS candidates, count(DISTINCT doc_id) AS documents FROM a JOIN h USING (code) GROUP BY 1), n AS (SELECT request_id AS query_id, count(code) AS codes FROM q LEFT JOIN a ON a.query_id = q.request_id GROUP BY 1) SELECT query_id, codes, coalesce(candidates, 0) AS candidates, coalesce(documents, 0) AS documents, CASE WHEN codes = 0 THEN 'hybrid_rrf' WHEN candidates IS NULL THEN 'no_candidate' WHEN codes = 1 AND documents = 1 AND candidates <= 5 THEN 'exact_code' ELSE 'ambiguous' END AS route FROM n LEFT JOIN f USING (query_id)",
     "JN-04": f"WITH e AS (SELECT chunk_id, doc_id, content_type, min(content) AS content FROM evidence_records WHERE doc_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY 1, 2, 3), c AS (SELECT DISTINCT chunk_id, doc_id, content_type, upper(unnest(regexp_extract_all(content, '{X.CODE}'))) AS code FROM e) SELECT DISTINCT a.doc_id, a.code, a.chunk_id AS table_chunk, b.chunk_id AS text_chunk FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.code = b.code AND a.content_type = 'table' AND b.content_type = 'text'",
-    "LK-18": "SELECT o_custkey, year(o_orderdate)::INT AS year, round(sum(o_totalprice), 2) AS value FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) GROUP BY 1, 2",
+    "LK-18": "WITH o AS (SELECT o_orderstatus, n_name, year(o_orderdate) AS y, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL), k AS (SELECT n_name, y, count(DISTINCT v) AS n, min(v) AS v FROM o GROUP BY 1, 2) SELECT o.n_name AS label, o.y::INT AS year, CASE WHEN n > 1 THEN 'ambiguous' WHEN k.v = o.v THEN 'bound' ELSE 'different' END AS status FROM o JOIN k ON o.n_name = k.n_name AND o.y = k.y WHERE o_orderstatus = 'F'",
 }

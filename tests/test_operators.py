@@ -318,3 +318,50 @@ def test_latest_row_and_asked_page(spark, tmp_path):
     put([(q, f"{q}{n}", n) for q in ("q1", "q2", "q3", "q4") for n in (5, 7, 8)], "query_id string, chunk_id string, page int", "retrieval_results")
     got = {r["chunk_id"] for r in entry.queries()["FLT-03"](spark, str(tmp_path)).collect()}
     assert got == {"q17", "q25", "q27", "q28", "q35", "q37", "q38", "q45", "q47"}
+
+
+def test_mentions_keep_their_places(spark):
+    text = "see 12, then 12 and AB12 12"
+    d = spark.createDataFrame([("a", text), ("e", ""), ("n", None), ("s", "12"), ("x", "x" * 100_000)], "k string, t string")
+    got = {(r["k"], r["begin"], r["end"], r["word"]) for r in J.mentions(d, "k", "t", "[0-9]+").collect()}
+    assert got == {("a", i + 1, i + 3, "12") for i in range(len(text)) if text.startswith("12", i)} | {("s", 1, 3, "12")}
+    assert J.mentions(d.where("false"), "k", "t", "[0-9]+").count() == 0
+
+
+def test_exact_route_and_modes(spark):
+    items = spark.createDataFrame([("i1", "d1", "AAAA1111 is a course"), ("i2", "d1", "AAAA1111 again with BBBB2222"), ("i3", "d2", "BBBB2222 alone"), ("i4", "d2", None), ("i5", "d3", "a course about water")], "item_id string, doc_id string, content string")
+    asked = spark.createDataFrame([("one", "What is AAAA1111?"), ("two", "BBBB2222?"), ("none", "CCCC3333?"), ("plain", "Which course is about water?"), ("null", None)], "query_id string, question string")
+    route = {r["query_id"]: r["route"] for r in R.exact_route(items, asked, 5)[0].collect()}
+    assert route == {"one": "exact_code", "two": "ambiguous", "none": "no_candidate", "plain": "hybrid_rrf", "null": "hybrid_rrf"}
+    assert R.exact_route(items, asked, 1)[0].where("query_id = 'one'").first()["route"] == "ambiguous"
+    h = R.hybrid(items, asked, 5, mode="exact_code").collect()
+    of = lambda q: {r["item_id"] for r in h if r["query_id"] == q and r["item_id"]}
+    assert of("one") == {"i1", "i2"} and of("none") == set() and {"i2", "i3"} <= of("two") and "i5" in of("plain")
+    for mode in ("bm25", "dense", "body_rrf"):
+        got = R.hybrid(items, asked, 2, mode=mode, eligible=items.where("doc_id = 'd3'")).where("item_id is not null").select("item_id").distinct().collect()
+        assert {r["item_id"] for r in got} <= {"i5"}
+    assert {r["abstention"] for r in R.hybrid(items, asked, 2, threshold=1.1).collect()} >= {"below_score_threshold"}
+
+
+def test_year_binding(spark):
+    cells = spark.createDataFrame([("Fee", "Year 2031", 5.0), ("fee ", "2031/2032", 7.0), ("FEE", "2032", 6.0), ("fee", "32032", 9.0), ("cap", "2031", 1.0), ("Cap", "AY 2031", 2.0), ("gap", "2031", None)], "l string, h string, v double")
+    asked = spark.createDataFrame([("Fee", 2031, 5.0), ("fee", 2032, 7.0), ("cap", 2031, 1.0), ("gap", 2031, 1.0), ("none", 2031, 1.0), (None, 2031, 1.0)], "label string, year int, value double")
+    got = {r["label"] or "": r["status"] for r in T.year_binding(cells, "l", "h", "v", asked.where("not (label = 'fee' and year = 2032)")).collect()}
+    assert got == {"Fee": "bound", "cap": "ambiguous", "gap": "ambiguous", "none": "absent", "": "absent"}
+    assert [r["status"] for r in T.year_binding(cells, "l", "h", "v", asked.where("year = 2032")).collect()] == ["different"]
+
+
+def test_handles(spark):
+    r = spark.createDataFrame([("q", "x", 2), ("q", "y", 1), ("q", "x", 3), ("p", "z", 1), (None, "w", 1)], "s string, i string, rank int")
+    known = V.handles(r, "s", "i", [F.col("rank")])
+    assert {(x["s"], x["i"], x["handle"]) for x in known.collect()} == {("q", "y", "ev1"), ("q", "x", "ev2"), ("p", "z", "ev1")}
+    cited = spark.createDataFrame([("q", "ev1"), ("p", "ev2"), ("q", "x"), ("q", None)], "s string, handle string")
+    assert {(x["s"], x["handle"], x["i"], x["error"]) for x in V.restore_handles(cited, known, "s", "handle", "i").collect()} == {("q", "ev1", "y", None), ("p", "ev2", None, "unknown_handle"), ("q", "x", None, "unknown_handle"), ("q", None, None, "unknown_handle")}
+
+
+def test_canary_holds_rollbacks_and_earns_steps(spark):
+    rows = [("r", d, 200, 0.1, 0.2, 500.0 if d != 4 else 1500.0, 900.0) for d in range(1, 9)] + [("b", d, 200, 0.3 if d == 2 else 0.1, 0.2, 5.0, 9.0) for d in range(1, 6)] + [("few", 1, 5, 0.9, 0.2, 5.0, 9.0)]
+    d = spark.createDataFrame(rows, "run string, day int, requests int, error_rate double, baseline_error_rate double, p95 double, p99 double")
+    got = {(x["run"], x["day"]): (x["state"], x["promoted"]) for x in A.canary(d, "run", "day").collect()}
+    assert [got["r", d] for d in range(1, 9)] == [("healthy", 0), ("healthy", 0), ("healthy", 1), ("waiting", 1), ("healthy", 1), ("healthy", 1), ("healthy", 2), ("healthy", 2)]
+    assert [got["b", d][0] for d in range(1, 6)] == ["healthy"] + ["rollback"] * 4 and got["few", 1] == ("waiting", 0)

@@ -95,3 +95,37 @@ def test_broken_font_map(spark):
     bad, good = "Ａ" * 100 + "", "ordinary text"
     d = spark.createDataFrame([(bad,), (good,)], "t string").select("t", readers.broken_font_map(F.col("t")).alias("b"))
     assert {r["t"][:3]: r["b"] for r in d.collect()} == {"ＡＡＡ": True, "ord": False}
+
+
+def test_quota_admissions_against_brute_force(spark, tmp_path):
+    import random
+
+    from gneiss.streaming.quota import MINUTE, Quota, admissions
+
+    r = random.Random(9)
+    rows = [(s, f"c{i}", i * 7_000_000 + r.randrange(5_000_000), r.choice([10, 40, 90, None, 500])) for s in ("a", "b") for i in range(120)]
+    late, at0 = rows[:40] + rows[120:160], str(tmp_path / "calls")
+    spark.createDataFrame(rows + [("a", "null", None, 1)], "scope string, call string, at long, tokens long").coalesce(1).write.parquet(at0)
+    stream = spark.readStream.schema("scope string, call string, at long, tokens long").parquet(at0)
+    got = S.run_once(admissions(stream, rpm=5, tpm=200, rpd=70, tpd=3000, spacing=3_000_000)).collect()
+    reasons = {(x["scope"], x["call"]): x["reason"] for x in got}
+    assert len(got) == 241 and reasons["a", "null"] == "invalid" and len(late) == 80
+    for s in ("a", "b"):
+        taken = []
+        for _, call, at, tokens in sorted((x for x in rows if x[0] == s), key=lambda x: x[2]):
+            n = tokens or 0
+            minute = [t for t in taken if t[0] > at - MINUTE]
+            ok = n <= 200 and len(taken) < 70 and sum(t[1] for t in taken) + n <= 3000 and len(minute) < 5 and sum(t[1] for t in minute) + n <= 200 and (not taken or at - taken[-1][0] >= 3_000_000)
+            assert (reasons[s, call] is None) == ok, (call, reasons[s, call])
+            if ok:
+                taken.append((at, n))
+    q, again = Quota(2, 100, 9, 900, 0, "UTC"), Quota(2, 100, 9, 900, 0, "UTC")
+    assert q.decide(0, 5) is None
+    again.load(q.dump())
+    assert again.decide(1, 5) is None and again.decide(2, 5) == "requests_a_minute" and again.decide(MINUTE + 2, 5) is None
+
+
+def test_pointers_of_many_writers(spark, tmp_path):
+    a, b = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    g = [s.write("t", spark.range(n)) for s, n in ((a, 1), (b, 2), (a, 3))]
+    assert a.generation("t") == b.generation("t") == g[-1] and a.read("t").count() == 3 and len(a._pointers("t")) == 3
