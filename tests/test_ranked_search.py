@@ -56,6 +56,10 @@ def test_rnk01_shuffles_no_row_for_every_pair(spark, tables):
     assert check_records(spark, tables, "RNK-01") < ITEMS * QUESTIONS / 2
 
 
+def test_rnk04_shuffles_no_row_for_every_pair(spark, tables):
+    assert check_records(spark, tables, "RNK-04") < ITEMS * QUESTIONS / 2
+
+
 @pytest.mark.parametrize("share", [0, 0.1, 0.5, 1])
 def test_bm25_search_is_the_top_of_all_scores(spark, share):
     rnd = random.Random(1)
