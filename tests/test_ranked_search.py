@@ -60,6 +60,12 @@ def test_rnk04_shuffles_no_row_for_every_pair(spark, tables):
     assert check_records(spark, tables, "RNK-04") < ITEMS * QUESTIONS / 2
 
 
+def test_rnk05_shuffles_no_row_for_every_pair(spark, tables):
+    records, rows = shuffled(spark, lambda: entry.queries()["RNK-05"](spark, tables))
+    assert len({(r["query_id"], r["rank"]) for r in rows}) == len(rows) == 5 * QUESTIONS
+    assert records < 2 * ITEMS * QUESTIONS
+
+
 @pytest.mark.parametrize("share", [0, 0.1, 0.5, 1])
 def test_bm25_search_is_the_top_of_all_scores(spark, share):
     rnd = random.Random(1)
